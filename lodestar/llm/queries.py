@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from lodestar.llm import decontaminate
+from lodestar.llm.decontaminate import op10_decontaminate
 from lodestar.llm.quality import op1_quality
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality}
+    return {"op1_quality": op1_quality, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontaminate": decontaminate.ORACLE}
