@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate
+from lodestar.llm import decontaminate, mixing, warc
 from lodestar.llm.decontaminate import op10_decontaminate
+from lodestar.llm.mixing import op9_mixing
 from lodestar.llm.quality import op1_quality
+from lodestar.llm.warc import op8_warc
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op10_decontaminate": op10_decontaminate}
+    return {"op1_quality": op1_quality, "op8_warc": op8_warc, "op9_mixing": op9_mixing, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": decontaminate.ORACLE}
+    return {"op8_warc": warc.ORACLE, "op9_mixing": mixing.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
