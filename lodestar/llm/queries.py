@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from lodestar.llm import decontaminate, mixing, warc
 from lodestar.llm.decontaminate import op10_decontaminate
+from lodestar.llm.hmm import op4_hmm
 from lodestar.llm.mixing import op9_mixing
 from lodestar.llm.quality import op1_quality
+from lodestar.llm.simhash import op6_simhash
 from lodestar.llm.warc import op8_warc
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op8_warc": op8_warc, "op9_mixing": op9_mixing, "op10_decontaminate": op10_decontaminate}
+    return {"op1_quality": op1_quality, "op4_hmm": op4_hmm, "op6_simhash": op6_simhash, "op8_warc": op8_warc, "op9_mixing": op9_mixing, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
