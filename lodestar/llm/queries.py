@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestar.llm import decontaminate, mixing, warc
+from lodestar.llm.ann import op2_ann
 from lodestar.llm.decontaminate import op10_decontaminate
 from lodestar.llm.hmm import op4_hmm
 from lodestar.llm.mixing import op9_mixing
@@ -14,7 +15,7 @@ from lodestar.llm.warc import op8_warc
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op3_secrets": op3_secrets, "op4_hmm": op4_hmm, "op6_simhash": op6_simhash, "op7_pii": op7_pii, "op8_warc": op8_warc, "op9_mixing": op9_mixing, "op10_decontaminate": op10_decontaminate}
+    return {"op1_quality": op1_quality, "op2_ann": op2_ann, "op3_secrets": op3_secrets, "op4_hmm": op4_hmm, "op6_simhash": op6_simhash, "op7_pii": op7_pii, "op8_warc": op8_warc, "op9_mixing": op9_mixing, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
