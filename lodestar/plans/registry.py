@@ -10,7 +10,7 @@ from importlib import import_module
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-PLANS = ("market", "battle")
+PLANS = ("market", "battle", "alliance")
 
 
 def half_up(sql: str) -> str:
