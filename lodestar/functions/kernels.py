@@ -58,7 +58,7 @@ def shares(df: DataFrame, by: str, key: str) -> DataFrame:
 
 
 def entropy_hhi(df: DataFrame, by: str, key: str) -> DataFrame:
-    return shares(df, by, key).groupBy(by).agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"), F.sum(F.col("p") * F.col("p")).alias("hhi"))
+    return shares(df, by, key).groupBy(by).agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"), (F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("hhi"))
 
 
 def js_divergence(p: DataFrame, q: DataFrame, by: str, key: str) -> DataFrame:

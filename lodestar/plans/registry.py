@@ -10,7 +10,7 @@ from importlib import import_module
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-PLANS = ("market", "battle", "alliance")
+PLANS = ("market", "battle", "alliance", "character")
 
 
 def half_up(sql: str) -> str:
