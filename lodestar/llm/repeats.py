@@ -3,7 +3,7 @@
 Every byte goes that a 100-byte string covers which also starts earlier (smaller doc_id, or earlier in the same document).
 
 1. Anchors. In each 100-byte window the 24-byte gram of the least hash is its anchor, so equal windows have equal anchors at equal
-   places. An anchor's context is what all its windows can cover, at most 176 bytes. Tasks drop contexts they saw before as repeats
+   places. An anchor's context is what the windows that have it cover, at most 176 bytes. Tasks drop contexts they saw before as repeats
    and deal the rest by the anchor's hash.
 2. Per anchor hash: a context equal to an earlier one is a repeat as a whole. Hashes with only one context are done. The first of
    each of several different contexts are asked for as bytes.
@@ -129,23 +129,24 @@ def anchors_of(texts: list[bytes], ids: np.ndarray, hot: np.ndarray | None = Non
     x = np.frombuffer(b"".join([bytes(SPAN), *texts, bytes(LENGTH + 8)]), np.uint8)
     first = np.cumsum(sizes) - sizes + SPAN
     h = gram_hashes(x)
-    order = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    least = sliding(order, SPAN, np.minimum)
+    key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)  # the low half tells the place, so ties go left
+    place = (sliding(key, SPAN, np.minimum) & np.uint64(0xFFFFFFFF)).astype(np.int64)  # the anchor of each window
     step = np.zeros(len(x) + 1, np.int32)
     ok = sizes >= LENGTH
     np.add.at(step, first[ok], 1)
     np.add.at(step, first[ok] + sizes[ok] - LENGTH + 1, -1)
-    least[np.cumsum(step)[: len(least)] <= 0] = 0  # windows over the end of a text
-    top = sliding(np.concatenate([np.zeros(SPAN - 1, np.uint32), least, np.zeros(SPAN - 1, np.uint32)]), SPAN, np.maximum)
-    top = top[: len(order)]
-    at = np.flatnonzero((order[: len(top)] == top) & (top > 0))
+    place[np.cumsum(step)[: len(place)] <= 0] = -1  # windows over the end of a text
+    cut = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    stop = np.append(cut[1:], len(place))
+    cut, stop = cut[place[cut] >= 0], stop[place[cut] >= 0]
+    at = place[cut]  # each anchor with the run of windows that have it
     doc = np.searchsorted(first, at, side="right") - 1
-    before = np.minimum(at - first[doc], SPAN - 1)
-    after = np.minimum(first[doc] + sizes[doc] - at, LENGTH)
+    before, after = at - cut, stop - 1 + LENGTH - at
     rows = np.lib.stride_tricks.sliding_window_view(x, CONTEXT)[at - (SPAN - 1)] if len(at) else np.zeros((0, CONTEXT), np.uint8)
-    edge = np.flatnonzero((before < SPAN - 1) | (after < LENGTH))
     k = np.arange(CONTEXT) - (SPAN - 1)
-    rows[edge] *= (k >= -before[edge, None]) & (k < after[edge, None])
+    for i in range(0, len(at), 65_536):
+        j = slice(i, i + 65_536)
+        rows[j] *= (k >= -before[j, None]) & (k < after[j, None])
     g = hash_rows(rows) ^ (before.astype(np.uint64) * _M[2]) ^ (after.astype(np.uint64) * _M[1])
     out = Anchors(h[at], g, ids[doc], (at - first[doc]).astype(np.uint32), before.astype(np.uint8), after.astype(np.uint8))
     if hot is None or not len(hot):
