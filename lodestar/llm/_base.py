@@ -51,6 +51,17 @@ def held_out(col, remainder: int, modulus: int = 5):
     return F.crc32(col.cast("string").cast("binary")) % modulus == remainder
 
 
+def hash_sample(df: DataFrame, rows: int, of: int, over: int = 2, key: str = "doc_id") -> DataFrame:
+    """The `rows` rows of smallest hash among those whose hash is in a share of over * rows / of, `of` being the rows of the table.
+
+    The share bounds what all tasks together send to the last one, however many tasks there are. If df keeps fewer than one in `over`
+    of the table's rows, the sample may be smaller.
+    """
+    bits = 1 << 24
+    share = min(bits, -(-bits * over * rows // max(of, 1)))
+    return df.where(F.pmod(F.xxhash64(key), F.lit(bits)) < share).orderBy(F.xxhash64(key), key).limit(rows)
+
+
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 bytes of each text, null as empty, without decoding."""
     col = batch.column(batch.schema.get_field_index(name))
