@@ -35,6 +35,7 @@ DISTANCE = 3
 HOT = 20_000
 #: Most values of one partition whose counts are told to all tasks; others count as the mean.
 KNOWN_VALUES = 20_000
+HOT_COPIES, HOT_MOST = 1_000, 1_000_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -298,12 +299,18 @@ def linked(distinct: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every row of docs."""
     fps = written(fingerprints(docs), "simhash")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     comp = written(components(linked(distinct)), "simhash-components")
     low = distinct.join(comp, distinct.fp == comp.node).groupBy("component").agg(F.min("low").alias("group_low"))
     label = comp.join(low, "component").select("node", "group_low")
-    label = distinct.join(label, distinct.fp == label.node, "left").select(F.col("fp").alias("_fp"), F.when(F.col("node").isNull(), F.col("low")).otherwise(F.col("group_low")).alias("component_id"))
-    return fps.join(label, fps.fp == label._fp).select("doc_id", "fp", "component_id")
+    label = distinct.join(label, distinct.fp == label.node, "left").select(F.col("fp").alias("_fp"), F.when(F.col("node").isNull(), F.col("low")).otherwise(F.col("group_low")).alias("component_id"), "n")
+    # fingerprints that very many rows share are sent to the rows, so no task gets them all; there are at most HOT_MOST such
+    most = max(HOT_COPIES, fps.count() // HOT_MOST)
+    hot = F.broadcast(label.where(F.col("n") > most))
+    on = fps.fp == F.col("_fp")
+    some = fps.join(hot, on).select("doc_id", "fp", "component_id")
+    rest = fps.join(hot, on, "left_anti").join(label.where(F.col("n") <= most), on).select("doc_id", "fp", "component_id")
+    return some.union(rest)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,5 +320,5 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document with the smallest doc_id stays (rows without doc_id all stay)."""
-    keep = groups(docs.where("doc_id is not null")).where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(keep, F.col("doc_id") == F.col("_d"), "left_semi").unionByName(docs.where("doc_id is null"))
+    keep = groups(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.dropDuplicates(["doc_id"]).join(keep, ["doc_id"], "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
