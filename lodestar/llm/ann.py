@@ -213,7 +213,9 @@ def search(df: DataFrame, id_col: str, vec_col: str, is_query, top: int = TOP) -
     index = written(distinct_vectors(df, id_col, vec_col, dim, top + 1), "ann-index")
     n = index.count()
     parts = 1 << max(0, min(MOST_PARTS.bit_length() - 1, round(np.log2(max(n, 1) / PART_ROWS))))
-    sample = index.select("vec").orderBy("key").limit(SAMPLE).toArrow()  # keys are hashes
+    # keys are hashes; twice the sample is let through, whatever the number of tasks
+    top_key = f"{min(0xFFFFFFFF, int(2 * SAMPLE / max(n, 1) * 2**32)):08x}g"
+    sample = index.where(F.col("key") < top_key).orderBy("key").limit(SAMPLE).select("vec").toArrow()
     sample = np.frombuffer(b"".join(sample.column("vec").to_pylist()), np.float64).reshape(-1, max(dim, 1))
     router_b = spark.sparkContext.broadcast(fit(unit(sample) if len(sample) else np.zeros((0, max(dim, 1)), np.float32), parts))
 
