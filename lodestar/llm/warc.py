@@ -295,8 +295,9 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceWriter):
     """Rows need record_type, record_id, target_uri, date, payload_digest, payload_bytes, refers_to and payload, by name."""
 
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
+        self.job = uuid.uuid4().hex  # made on the driver, so all tasks of the job share it
         self.gzip = options.get("compression", "gzip") == "gzip"
 
     def write(self, iterator):
@@ -306,7 +307,7 @@ class WarcWriter(DataSourceWriter):
         try:
             for r in iterator:
                 if out is None:
-                    files.append(f"{root}/part-{uuid.uuid4().hex}.warc{'.gz' * self.gzip}")
+                    files.append(f"{root}/part-{self.job}-{uuid.uuid4().hex}.warc{'.gz' * self.gzip}")
                     out, size = fs.open_output_stream(files[-1], compression=None), 0
                 data = record(r.record_type, r.record_id, r.target_uri, r.date, r.payload_digest, r.payload_bytes, None if r.payload is None else bytes(r.payload), r.refers_to)
                 data = member(data) if self.gzip else data
@@ -326,11 +327,12 @@ class WarcWriter(DataSourceWriter):
         return Written(files)
 
     def commit(self, messages):
-        """Files that no committed task names are of attempts that were lost: they go."""
+        """Files of this job that no committed task names are of attempts that were lost: they go, and so does what is overwritten."""
         fs, root = open_fs(self.path)
-        kept = {f for m in messages if m is not None for f in m.files}
+        kept = {f.rpartition("/")[2] for m in messages if m is not None for f in m.files}
         for i in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
-            if i.type == pafs.FileType.File and ".warc" in i.path and i.path not in kept and f"/{i.base_name}" not in {k[k.rfind("/") :] for k in kept}:
+            own = i.base_name.startswith(f"part-{self.job}-")
+            if i.type == pafs.FileType.File and i.base_name not in kept and (own or self.overwrite and i.base_name.endswith((".warc", ".warc.gz"))):
                 fs.delete_file(i.path)
 
     def abort(self, messages):
@@ -352,7 +354,7 @@ class WarcDataSource(DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
