@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that separate words in all contracts that say ``[^\x20\x09-\x0D]+``; ``bytes.split()`` uses the same.
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
@@ -62,6 +63,11 @@ def hash_sample(df: DataFrame, rows: int, of: int, over: int = 2, key: str = "do
     return df.where(F.pmod(F.xxhash64(key), F.lit(bits)) < share).orderBy(F.xxhash64(key), key).limit(rows)
 
 
+def with_fields(df: DataFrame, keep: list[str], **fields: T.DataType) -> T.StructType:
+    """The schema of the columns `keep` of df, followed by new fields."""
+    return T.StructType([*df.select(*keep).schema.fields, *(T.StructField(k, t) for k, t in fields.items())])
+
+
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 bytes of each text, null as empty, without decoding."""
     col = batch.column(batch.schema.get_field_index(name))

@@ -12,15 +12,16 @@ count once per item_id; repeated document rows get a row each.
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestar.llm._base import column, small_batches, table, text_bytes
+from lodestar.llm._base import column, small_batches, table, text_bytes, with_fields
 
 WINDOW = 10
 #: Most words of benchmark items in one automaton (an item longer than this has one of its own).
@@ -186,16 +187,14 @@ def scan_texts(auto: Automaton, texts: list[bytes]) -> Iterator[tuple[int, list[
         yield len(ws), spans, {auto.ids[k] for k in found}
 
 
-SCAN_SCHEMA = "n_words long, starts array<int>, ends array<int>, items array<string>"
+FOUND = {"n_words": T.LongType(), "starts": T.ArrayType(T.IntegerType()), "ends": T.ArrayType(T.IntegerType()), "items": T.ArrayType(T.StringType())}
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], shard_words: int = SHARD_WORDS) -> DataFrame:
     """The columns `keep` with n_words, the hit word spans (starts, ends) and the item ids found."""
     spark = docs.sparkSession
-    fields = docs.select(*keep).schema.fields
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
-    def part(auto_b, cols: list[str], schema: str, source: DataFrame) -> DataFrame:
+    def part(auto_b, cols: list[str], source: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             auto = auto_b.value
             for b in small_batches(batches):
@@ -211,18 +210,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], shard_words: in
                     names=[*cols, "n_words", "starts", "ends", "items"],
                 )
 
-        return source.select(*dict.fromkeys([*cols, "text"])).mapInArrow(run, f"{schema}, {SCAN_SCHEMA}")
+        return source.select(*dict.fromkeys([*cols, "text"])).mapInArrow(run, with_fields(source, cols, **FOUND))
 
     autos = [spark.sparkContext.broadcast(Automaton(s)) for s in load_items(benchmark, shard_words)] or [spark.sparkContext.broadcast(Automaton([]))]
     if len(autos) == 1:
-        return part(autos[0], keep, head, docs)
+        return part(autos[0], keep, docs)
     # more items than one automaton holds: spans of all automata, joined by row
     rows = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
     key = F.struct(*[F.col(k) for k in rows.columns])
     rows = rows.withColumn("_row", F.sha2(F.to_json(key), 256))
-    found = part(autos[0], ["_row"], "_row string", rows)
+    found = part(autos[0], ["_row"], rows)
     for a in autos[1:]:
-        found = found.union(part(a, ["_row"], "_row string", rows))
+        found = found.union(part(a, ["_row"], rows))
     found = found.groupBy("_row").agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_set(F.arrays_zip("starts", "ends"))).alias("z"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
@@ -254,7 +253,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-_WORD = __import__("re").compile(rb"[0-9A-Za-z\x80-\xff]+")
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -270,19 +269,20 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str, drop_coverage: float = DROP_COVERAGE) -> DataFrame:
     """Pipeline stage: documents of which half or more is hit go; of others the hit spans are cut out and n_chars is set anew."""
     cols = docs.columns
-    got = scan(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), cols)
+    rows = docs.select(F.struct(*cols).alias("doc"), "text")  # columns of any name pass through as one
+    got = scan(rows, table(spark, sf_dir, "benchmark", "item_id", "text"), ["doc"])
     got = got.where((n_hit() == 0) | (n_hit() < drop_coverage * F.col("n_words")))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = column(b, "text").to_pylist()
+            doc = column(b, "doc")
+            texts = doc.field("text").to_pylist()
             for i, (s, e) in enumerate(zip(column(b, "starts").to_pylist(), column(b, "ends").to_pylist())):
                 if s:
                     texts[i] = cut(texts[i].encode(), merged(s, e)).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == "text" else column(b, k) for k in cols], names=cols)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == "text" else doc.field(k) for k in cols], names=cols)
 
-    changed = got.select(*cols, "starts", "ends").mapInArrow(run, head)
+    changed = got.select("doc", "starts", "ends").mapInArrow(run, docs.schema)
     return changed.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in cols else changed
 
 

@@ -97,8 +97,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: the documents the mix takes, with taken words and position, range-sorted by position."""
-    got = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.min("position").alias("position"))
-    return docs.join(got.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d").orderBy("position", "doc_id")
+    new = ["size", "source_size", "target", "taken", "position"]
+    got = mix(docs).where("taken > 0").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in new[:3]], F.sum("taken").alias("taken"), F.min("position").alias("position"))
+    got = got.select(F.struct("doc_id").alias("mix_key"), *new)
+    old = docs.drop(*new)  # columns of these names give way
+    return old.withColumn("mix_key", F.struct("doc_id")).join(got, "mix_key").select(*old.columns, *new).orderBy("position", "doc_id")
 
 
 ORACLE = r"""

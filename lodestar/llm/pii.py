@@ -44,6 +44,9 @@ TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 24
 CONTEXT = 24
 CUES = ("tel", "phone", "call", "fax", "mobile", "mail", "contact", "ssn", "social", "card", "account", "passport", "version", "isbn", "page", "order", "date")
 
+#: Last parts that written-out addresses usually have.
+ENDINGS = frozenset("com net org edu gov io co de fr es uk eu info biz us ca".split())
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -109,7 +112,7 @@ def features(text: str, s: int, e: int, gen: int) -> list[float]:
         float(bool(digits) and luhn(digits)), float(quad), max((min(int(p[:6]), 999) for p in parts), default=0) if quad else 0, t.count("."), t.count("-"), t.count(" "), t.count("("), t.count("/"),
         float(t[:1] == "+" or before[-1:] == "+"), t.count("@"), float(" dot " in t.lower() or "(dot)" in t.lower() or "[dot]" in t.lower()), float("(at)" in t.lower() or "[at]" in t.lower() or " at " in t.lower()),
         int(digits[0]) if digits else -1, sum(c.isalpha() for c in t), float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in ".-/$€"), float(after[:1] in "%-/"),
-        *(float(c in before) for c in CUES),
+        float(re.split(r"[^a-z]+", t.lower())[-1] in ENDINGS), *(float(c in before) for c in CUES),
     ]
 
 
@@ -180,7 +183,7 @@ def examples(seed: int = 9) -> list[tuple[str, int, int, int, int]]:
     no = [
         (4, lambda: f"{r.integers(1900, 2100)}-{r.integers(10, 13)}-{r.integers(10, 29)}"), (4, lambda: f"{r.integers(1, 29)}/{r.integers(1, 13)}/{r.integers(1900, 2100)}"), (4, lambda: f"{r.integers(1, 999)} {n(3)} {n(3)}"),
         (4, lambda: n(int(r.integers(7, 20)))), (2, lambda: n(int(r.integers(7, 20)))), (4, lambda: f"{r.integers(1, 20)}.{n(2)}.{n(4)}.{n(1)}"), (4, lambda: f"978-{n(1)}-{n(4)}-{n(4)}-{n(1)}"), (4, lambda: f"{n(3)}.{n(6)}"), (4, lambda: f"{n(4)}-{n(4)}"),
-        (0, lambda: f"look at {word()} dot {word()} and"),
+        (0, lambda: f"{word()} at {word()} dot {word()}"), (0, lambda: f"{word()} at {word()} dot {word()} dot {word()}"),
     ]
     cues = [["tel ", "phone: ", "call me ", "contact ", "", "", "write to "], ["version ", "isbn ", "page ", "order ", "date ", "", "", "no. "]]
     out = []
@@ -287,12 +290,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: personal data is replaced in the texts, n_chars is set anew; every document stays."""
     detector, cols = fit(docs), docs.columns
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             texts = [t and redact(t, detector.spans(t)[1]) for t in column(b, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == "text" else column(b, k) for k in cols], names=cols)
 
-    out = docs.mapInArrow(run, head)
+    out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in cols else out

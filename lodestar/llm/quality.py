@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestar.llm._base import column, held_out, small_batches, table, text_bytes
+from lodestar.llm._base import column, hash_sample, held_out, small_batches, table, text_bytes, with_fields
 
 STEP = 8  # bytes from one chunk to the next
 BLOCKS = 4  # a chunk is BLOCKS * STEP bytes
@@ -28,6 +29,8 @@ FILTERS = 24
 HIDDEN = 12
 #: At most so many labelled rows train the network, those of the smallest hash.
 TRAIN_ROWS = 4000
+#: Longer texts are scored like all others, but not learned from.
+TRAIN_CHARS = 100_000
 THRESHOLD = 0.3
 
 
@@ -161,8 +164,9 @@ def train(texts: list[bytes], y: np.ndarray, steps: int = 500, batch: int = 32,
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Network:
     """Train on at most `rows` labelled rows outside the held-out fold (crc32 mod 5 = 0): a bounded sample by hash of doc_id."""
     known = labels.select("doc_id", F.col(label).alias("_y")).where(F.col("_y").isin(0, 1) & ~held_out(F.col("doc_id"), 0))
-    known = known.groupBy("doc_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_y").alias("_y")).toArrow().sort_by("doc_id")
+    known = known.groupBy("doc_id").agg(F.min("_y").alias("_y"))
+    known = hash_sample(known, rows, labels.count())
+    got = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_y").alias("_y")).toArrow().sort_by("doc_id")
     texts = [(t or "").encode() for t in got.column("text").to_pylist()]
     return train(texts, np.array(got.column("_y").to_pylist(), np.int64))
 
@@ -173,14 +177,12 @@ def score_texts(net: Network, texts: list[bytes]) -> np.ndarray:
 
 def scored(docs: DataFrame, net: Network, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """The columns `keep` with score and predicted; every byte of every text is read."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 1 << 20):
             s = score_texts(net, text_bytes(b, "text"))
             yield pa.RecordBatch.from_arrays([*(column(b, k) for k in keep), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, with_fields(docs, keep, score=T.DoubleType(), predicted=T.IntegerType()))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,5 +195,5 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents scored under the threshold go."""
     net = fit(docs, table(spark, sf_dir, "labels"))
-    cols = docs.columns
-    return scored(docs, net, cols).where("predicted = 1").select(*cols)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")  # columns of any name pass through as one
+    return scored(rows, net, ["doc"]).where("predicted = 1").select("doc.*")
