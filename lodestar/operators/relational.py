@@ -92,13 +92,24 @@ def insert_absent(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFra
     return old.unionByName(new.dropDuplicates(list(key)).join(old.select(*key), list(key), "left_anti"))
 
 
-def nth_percentile(df: DataFrame, value: str, p: float, tie: str) -> DataFrame:
-    """The exact discrete value at floor(n p), counted from 0, by ascending value: one row."""
-    s = df.select(value, tie).where(F.col(value).isNotNull())
-    n = s.agg(F.count(F.lit(1)).alias("n"))
-    # ranks of equal values are needed only near the percentile, so values are counted first
-    c = s.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    return c.withColumn("upto", F.sum("c").over(Window.orderBy(value))).crossJoin(F.broadcast(n)).where(F.col("upto") > F.floor(F.col("n") * p)).agg(F.min(value).alias(value))
+def value_counts_ranked(df: DataFrame, col: str, buckets: int = 64) -> DataFrame:
+    """Each distinct value of col with below (rows under it), upto (rows at or under it) and total, without ordering all values in one task.
+
+    Values are dealt to ranges cut at approximate quantiles; counts run within each range, on top of the ranges before it. The cuts only
+    decide who counts what: results are exact, and equal values share a range. Ranks, cume_dist, percent_rank and discrete percentiles
+    follow from the three numbers.
+    """
+    c = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    cuts = sorted(set(df.select(F.col(col).cast("double")).approxQuantile(col, [i / buckets for i in range(1, buckets)], 0.5 / buckets)))
+    bucket = F.lit(0)
+    if cuts:
+        bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(col)))
+    c = c.withColumn("_b", bucket)
+    ranges = c.groupBy("_b").agg(F.sum("_c").alias("_s"))  # at most `buckets` rows
+    w = Window.orderBy("_b")
+    ranges = ranges.select("_b", (F.sum("_s").over(w) - F.col("_s")).alias("_before"), F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    upto = F.sum("_c").over(Window.partitionBy("_b").orderBy(col)) + F.col("_before")
+    return c.join(F.broadcast(ranges), "_b").select(col, (upto - F.col("_c")).alias("below"), upto.alias("upto"), "total")
 
 
 def keep_spaced(df: DataFrame, by: str, ts: str, tie: str, seconds: int) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.kernels import clamp, exact_sum, rnd, safe_div, tier
-from lodestar.operators.relational import gap_islands
+from lodestar.operators.graph import cut
+from lodestar.operators.relational import gap_islands, value_counts_ranked
 from lodestar.plans.registry import query
 from lodestar.sources import views as V
 
@@ -91,7 +92,8 @@ def side_table(spark: SparkSession, d: str) -> DataFrame:
     e = e.withColumn("eff", F.col("avg_sustain") / F.log(1 + F.col("kills") / F.greatest(F.lit(1.0), F.col("dur_min")) + 1e-6)).withColumn("eff6", rnd("eff", 6))
     st = e.groupBy("size_class").agg(F.avg("eff").alias("mu"), F.stddev_pop("eff").alias("sd"))
     e = e.join(F.broadcast(st), "size_class").withColumn("z", rnd(safe_div(F.col("eff") - F.col("mu"), F.col("sd"))))
-    return e.withColumn("pct", F.cume_dist().over(Window.orderBy("eff6")))
+    e = cut(e)  # read twice below
+    return e.join(value_counts_ranked(e, "eff6"), "eff6").withColumn("pct", F.col("upto") / F.col("total"))
 
 
 @query("side_anomalies", SIDES + """SELECT battle_id, side_key, kills, pilots, size_class, round(eff, 6) AS efficiency, z, round(pct, 6) AS pct, CASE WHEN z > 2 THEN 'high_sustain' WHEN z < -1 THEN 'low_sustain' ELSE 'normal' END AS anomaly FROM z""")

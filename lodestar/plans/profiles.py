@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.kernels import clamp, decay, exact_sum, normalise, rnd, safe_div
+from lodestar.operators.graph import cut
+from lodestar.operators.relational import value_counts_ranked
 from lodestar.plans.registry import query
 from lodestar.sources import views as V
 
@@ -85,13 +87,11 @@ def signal_contributions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("risk_ranks", FUSE + """, r AS (SELECT character_id, round(risk, 6) AS risk FROM f) SELECT character_id, risk, CAST(rank() OVER (ORDER BY risk DESC) AS INTEGER) AS rank, round(percent_rank() OVER (ORDER BY risk), 6) AS percentile FROM r""")
 def risk_ranks(spark: SparkSession, d: str) -> DataFrame:
-    """Rank and percent rank; both from counts of equal risks, so only distinct values are ordered in one place."""
-    r = fused(spark, d).select("character_id", rnd("risk", 6).alias("risk"))
-    c = r.groupBy("risk").agg(F.count(F.lit(1)).alias("c"))
-    up, down = Window.orderBy("risk"), Window.orderBy(F.desc("risk"))
-    all_ = up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    c = c.select("risk", (F.sum("c").over(down) - F.col("c") + 1).cast("int").alias("rank"), rnd(safe_div(F.sum("c").over(up) - F.col("c"), F.sum("c").over(all_) - 1), 6).alias("percentile"))
-    return r.join(c, "risk").select("character_id", "risk", "rank", "percentile")
+    """Rank and percent rank, from counts of values in ranges."""
+    r = cut(fused(spark, d).select("character_id", rnd("risk", 6).alias("risk")))
+    c = value_counts_ranked(r, "risk")
+    rank, pct = (F.col("total") - F.col("upto") + 1).cast("int"), safe_div(F.col("below"), F.col("total") - 1)
+    return r.join(c, "risk").select("character_id", "risk", rank.alias("rank"), rnd(pct, 6).alias("percentile"))
 
 
 @query("score_deltas", V.ctes("es") + """, s AS (SELECT character_id, CAST(ts AS DATE) AS day, count(*) AS n FROM es GROUP BY 1, 2)
@@ -108,11 +108,9 @@ def score_deltas(spark: SparkSession, d: str) -> DataFrame:
 SELECT max(CASE WHEN i = floor(n * 0.10) + 1 THEN v END) AS p10, max(CASE WHEN i = floor(n * 0.50) + 1 THEN v END) AS p50, max(CASE WHEN i = floor(n * 0.90) + 1 THEN v END) AS p90, max(n) AS n FROM r""")
 def percentile_thresholds(spark: SparkSession, d: str) -> DataFrame:
     """Exact discrete percentiles (the value at floor(n p), from 0) for calibration."""
-    c = fused(spark, d).groupBy(rnd("risk", 6).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.orderBy("v")  # distinct values
-    c = c.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col("v")))
-    return c.agg(at(0.10).alias("p10"), at(0.50).alias("p50"), at(0.90).alias("p90"), F.max("n").alias("n"))
+    c = value_counts_ranked(cut(fused(spark, d).select(rnd("risk", 6).alias("v"))), "v")
+    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("total") * p), F.col("v")))
+    return c.agg(at(0.10).alias("p10"), at(0.50).alias("p50"), at(0.90).alias("p90"), F.max("total").alias("n"))
 
 
 #: compound, required signals, least normalised value, scoring

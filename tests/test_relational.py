@@ -85,3 +85,11 @@ def test_ledger_invariants(spark):
 def test_pairs(spark):
     df = spark.createDataFrame([(1, 3), (1, 2), (1, 3), (2, 9)], "g int, n int")
     assert [tuple(r)[1:] for r in R.pairs(df, ["g"], "n").collect()] == [(2, 3)]
+
+
+def test_ranked_counts(spark):
+    rnd = random.Random(4)
+    v = [rnd.randrange(40) / 4 for _ in range(500)] + [1e9, -5.0]
+    got = {r.v: (r.below, r.upto, r.total) for r in R.value_counts_ranked(spark.createDataFrame([(x,) for x in v] + [(None,)], "v double"), "v", 8).collect()}
+    assert got == {x: (sum(y < x for y in v), sum(y <= x for y in v), len(v)) for x in set(v)}
+    assert R.value_counts_ranked(spark.createDataFrame([], "v double"), "v").count() == 0
