@@ -80,3 +80,25 @@ def since(df: DataFrame, ts: str, tie: str, cursor: tuple | None, repair_seconds
     if repair_seconds:
         return df.where(F.col(ts) >= F.lit(at).cast("timestamp") - F.expr(f"INTERVAL {repair_seconds} SECONDS"))
     return df.where((F.col(ts) > F.lit(at).cast("timestamp")) | ((F.col(ts) == F.lit(at).cast("timestamp")) & (F.col(tie) > i)))
+
+
+def cursor_reset(df: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """Cursors (dataset_key, cursor) that lie past the data or above rows not done yet go back: to the largest key, or before the first such row.
+
+    df: dataset_key, the key column, done.
+    """
+    g = df.groupBy("dataset_key").agg(F.max(key).alias("_max"), F.min(F.when(~F.col("done"), F.col(key))).alias("_open"))
+    c = F.least("cursor", "_max", F.col("_open") - 1)
+    return state.join(g, "dataset_key", "left").select("dataset_key", F.coalesce(c, "cursor").alias("cursor"), (F.coalesce(c, "cursor") < F.col("cursor")).alias("was_reset"))
+
+
+def backfill_verdicts(state: DataFrame, as_of, soak_hours: int = 24, fresh_seconds: int = 900) -> DataFrame:
+    """Backfills as proposed, soaking or approved: caught up and without gaps, first seen so, and so for the soak time.
+
+    state: dataset_key, watermark, gaps, proposed_at.
+    """
+    now = F.lit(as_of).cast("timestamp")
+    ready = (F.unix_seconds(now) - F.unix_seconds("watermark") <= fresh_seconds) & (F.col("gaps") == 0)
+    soaked = F.unix_seconds(now) - F.unix_seconds("proposed_at") >= soak_hours * 3600
+    verdict = F.when(~ready, "running").when(F.col("proposed_at").isNull(), "proposed").when(soaked, "approved").otherwise("soaking")
+    return state.select("*", verdict.alias("verdict"), F.when(~ready, None).otherwise(F.coalesce("proposed_at", now)).alias("next_proposed_at"))

@@ -65,3 +65,12 @@ def test_lifecycle_states(spark):
     cand = spark.createDataFrame([(1, 0.9, day(10)), (2, 0.9, day(10)), (4, 0.5, day(10)), (6, 0.4, day(10))], "key long, severity double, at date")
     as_of = spark.createDataFrame([(day(10),)], "as_of date")
     assert {r.key: r.state for r in lifecycle(prev, cand, as_of).collect()} == {1: "escalated", 2: "suppressed", 3: "resolved", 4: "active", 5: "expired", 6: "active"}
+
+
+def test_cursor_reset_and_backfill(spark):
+    df = spark.createDataFrame([("a", 5, True), ("a", 9, True), ("b", 3, False), ("b", 8, True)], "dataset_key string, id long, done boolean")
+    st = spark.createDataFrame([("a", 20), ("b", 8), ("c", 4)], "dataset_key string, cursor long")
+    assert {r.dataset_key: (r.cursor, r.was_reset) for r in S.cursor_reset(df, st, "id").collect()} == {"a": (9, True), "b": (2, True), "c": (4, False)}
+    old = T0 - dt.timedelta(days=2)
+    st = spark.createDataFrame([("a", T0, 1, None), ("b", T0, 0, None), ("c", T0, 0, T0), ("d", T0, 0, old), ("e", old, 0, old)], "dataset_key string, watermark timestamp, gaps int, proposed_at timestamp")
+    assert {r.dataset_key: r.verdict for r in S.backfill_verdicts(st, T0 + dt.timedelta(minutes=1)).collect()} == {"a": "running", "b": "proposed", "c": "soaking", "d": "approved", "e": "running"}
