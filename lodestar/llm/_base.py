@@ -17,7 +17,13 @@ WORD_RE = "[^\\x20\\x09-\\x0D]+"
 _OWN: list[tempfile.TemporaryDirectory] = []
 
 
+#: Bytes of a batch that goes to a Python worker at once, unless the session says otherwise: long texts must not add up there.
+BATCH_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*cols) if cols else df
 
