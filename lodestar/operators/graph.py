@@ -183,11 +183,14 @@ def betweenness(e: DataFrame, sources: DataFrame, nodes_most: int = 200_000) ->
     return sources.select(F.col("source").cast("bigint")).mapInPandas(run, "node long, score double").groupBy("node").agg(F.sum("score").alias("score"))
 
 
-def bridges(e: DataFrame, component: DataFrame) -> DataFrame:
-    """Bridge edges (a < b) and articulation points by component (node, component): one group each."""
+def bridges(e: DataFrame, component: DataFrame, edges_most: int = 2_000_000) -> DataFrame:
+    """Bridge edges (a < b) and articulation points by component (node, component): one group each, refused past edges_most edges."""
     from lodestar.operators.graph_local import low_links
 
     j = e.where("src < dst").join(component.withColumnRenamed("node", "src"), "src").select("component", "src", "dst")
+    large = j.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > edges_most).limit(1).count()
+    if large:
+        raise ValueError(f"a component has more than {edges_most} edges")
 
     def run(pdf):
         import pandas as pd

@@ -250,7 +250,9 @@ def escalation_chains(spark: SparkSession, d: str, gap_hours: int = 72, overlap:
     """Greedy chains within an area: a battle joins the open chain whose last end is within the gap and which shares enough pilots with a member."""
     b = with_battle(V.event_stream(spark, d), 6 * 3600).withColumn("area", F.col("system_id"))
     g = b.groupBy("area", "battle_id").agg(F.min("ts").alias("s"), F.max("ts").alias("e"), F.collect_set("character_id").alias("pilots"))
-    return g.groupBy("area").applyInPandas(lambda pdf: _chains(pdf, gap_hours, overlap), "area int, chain_id string, battles int, started_at timestamp, ended_at timestamp, peak int, grade string")
+    # a battle past the gap from every end before it can join no chain, so the runs between such gaps are groups of their own
+    g = gap_islands(g, ["area"], "s", "e", "battle_id", gap_hours * 3600)
+    return g.groupBy("area", "island").applyInPandas(lambda pdf: _chains(pdf, gap_hours, overlap), "area int, chain_id string, battles int, started_at timestamp, ended_at timestamp, peak int, grade string")
 
 
 def _chains(pdf, gap_hours: int, overlap: float):
