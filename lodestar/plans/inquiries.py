@@ -34,7 +34,7 @@ def calendar_parts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("expanded_engagements", V.ctes("es") + """, w AS (SELECT system_id, CAST(ts AS DATE) AS day, min(epoch_us(ts)) AS s, max(epoch_us(ts)) AS e FROM es WHERE side_key = 'purchase' GROUP BY 1, 2),
 p AS (SELECT DISTINCT system_id, CAST(ts AS DATE) AS day, character_id FROM es WHERE side_key = 'purchase')
-SELECT w.system_id, w.day, count(*) AS n, count(DISTINCT es.character_id) AS characters FROM w JOIN es ON es.system_id = w.system_id AND epoch_us(es.ts) BETWEEN s - 3600000000 AND e + 3600000000 JOIN p ON p.system_id = w.system_id AND p.day = w.day AND p.character_id = es.character_id GROUP BY 1, 2""")
+SELECT w.system_id, CAST(w.day AS VARCHAR) AS day, count(*) AS n, count(DISTINCT es.character_id) AS characters FROM w JOIN es ON es.system_id = w.system_id AND epoch_us(es.ts) BETWEEN s - 3600000000 AND e + 3600000000 JOIN p ON p.system_id = w.system_id AND p.day = w.day AND p.character_id = es.character_id GROUP BY w.system_id, w.day""")
 def expanded_engagements(spark: SparkSession, d: str, margin_seconds: int = 3600) -> DataFrame:
     """Events within an engagement's time and a margin that share a participant with it: day-bucketed range join, then the guard."""
     es = V.event_stream(spark, d)
@@ -45,7 +45,7 @@ def expanded_engagements(spark: SparkSession, d: str, margin_seconds: int = 3600
     w = w.withColumn("_b", F.explode(F.sequence(day(F.col("s")), day(F.col("e")))))
     j = es.withColumn("_b", day(us)).join(w, ["system_id", "_b"]).where((us >= F.col("s")) & (us <= F.col("e")))
     j = j.join(core.select("system_id", "day", "character_id").distinct(), ["system_id", "day", "character_id"], "left_semi")
-    return j.groupBy("system_id", "day").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("character_id").alias("characters"))
+    return j.groupBy("system_id", F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("character_id").alias("characters"))
 
 
 DAYS = V.ctes("es") + ", c AS (SELECT DISTINCT system_id, CAST(ts AS DATE) AS day, character_id FROM es), p AS (SELECT x.system_id, x.character_id AS a, y.character_id AS b, x.day FROM c x JOIN c y ON x.system_id = y.system_id AND x.day = y.day AND x.character_id < y.character_id)"

@@ -95,13 +95,13 @@ def risk_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("score_deltas", V.ctes("es") + """, s AS (SELECT character_id, CAST(ts AS DATE) AS day, count(*) AS n FROM es GROUP BY 1, 2)
-SELECT a.character_id, a.day, a.n, a.n - b.n AS delta_1d, a.n - c.n AS delta_7d FROM s a LEFT JOIN s b ON a.character_id = b.character_id AND b.day = a.day - 1 LEFT JOIN s c ON a.character_id = c.character_id AND c.day = a.day - 7""")
+SELECT a.character_id, CAST(a.day AS VARCHAR) AS day, a.n, a.n - b.n AS delta_1d, a.n - c.n AS delta_7d FROM s a LEFT JOIN s b ON a.character_id = b.character_id AND b.day = a.day - 1 LEFT JOIN s c ON a.character_id = c.character_id AND c.day = a.day - 7""")
 def score_deltas(spark: SparkSession, d: str) -> DataFrame:
     """Change against the snapshots of one and seven days before."""
     s = V.event_stream(spark, d).groupBy("character_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     before = lambda k: s.select("character_id", F.date_add("day", k).alias("day"), F.col("n").alias(f"n{k}"))
     j = s.join(before(1), ["character_id", "day"], "left").join(before(7), ["character_id", "day"], "left")
-    return j.select("character_id", "day", "n", (F.col("n") - F.col("n1")).alias("delta_1d"), (F.col("n") - F.col("n7")).alias("delta_7d"))
+    return j.select("character_id", F.col("day").cast("string").alias("day"), "n", (F.col("n") - F.col("n1")).alias("delta_1d"), (F.col("n") - F.col("n7")).alias("delta_7d"))
 
 
 @query("percentile_thresholds", FUSE + """, r AS (SELECT round(risk, 6) AS v, row_number() OVER (ORDER BY round(risk, 6), character_id) AS i, count(*) OVER () AS n FROM f)
@@ -148,7 +148,7 @@ def lifecycle(prev: DataFrame, cand: DataFrame, as_of: DataFrame, expire_days: i
 p AS (SELECT key, CASE WHEN key % 11 = 0 THEN 'suppressed' WHEN max(day) < (SELECT m FROM t) - 3 THEN 'resolved' ELSE 'active' END AS was, max(n) / 10.0 AS old, max(day) AS last_at FROM c, t WHERE day < m - 1 AND n >= 4 GROUP BY 1),
 k AS (SELECT key, max(n) / 10.0 AS severity, max(day) AS att FROM c, t WHERE day >= m - 1 AND n >= 4 GROUP BY 1), j AS (SELECT coalesce(p.key, k.key) AS key, was, old, last_at, severity, att FROM p FULL JOIN k ON p.key = k.key)
 SELECT key, CASE WHEN att IS NOT NULL AND was = 'suppressed' THEN 'suppressed' WHEN att IS NOT NULL AND was IS NULL THEN 'active' WHEN att IS NOT NULL AND severity >= old + 0.2 THEN 'escalated' WHEN att IS NOT NULL THEN 'active' WHEN was = 'suppressed' THEN 'suppressed'
-  WHEN was IN ('resolved', 'expired') AND date_diff('day', last_at, m) >= 7 THEN 'expired' ELSE 'resolved' END AS state, round(coalesce(severity, old), 4) AS severity, coalesce(att, last_at) AS last_at FROM j, t""")
+  WHEN was IN ('resolved', 'expired') AND date_diff('day', last_at, m) >= 7 THEN 'expired' ELSE 'resolved' END AS state, round(coalesce(severity, old), 4) AS severity, CAST(coalesce(att, last_at) AS VARCHAR) AS last_at FROM j, t""")
 def event_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     es = V.event_stream(spark, d)
     t = es.agg(F.max(F.to_date("ts")).alias("as_of"))
@@ -157,7 +157,7 @@ def event_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     prev = c.where(~new).groupBy("key", "as_of").agg((F.max("n") / 10.0).alias("severity"), F.max("day").alias("last_at"))
     prev = prev.select("key", F.when(F.col("key") % 11 == 0, "suppressed").when(F.col("last_at") < F.date_sub("as_of", 3), "resolved").otherwise("active").alias("state"), "severity", "last_at")
     cand = c.where(new).groupBy("key").agg((F.max("n") / 10.0).alias("severity"), F.max("day").alias("at"))
-    return lifecycle(prev, cand, t).withColumn("severity", rnd("severity"))
+    return lifecycle(prev, cand, t).withColumn("severity", rnd("severity")).withColumn("last_at", F.col("last_at").cast("string"))
 
 
 @query("rank_runs", V.ctes("es") + """, s AS (SELECT character_id, CAST(ts AS DATE) AS day, count(*) AS n FROM es GROUP BY 1, 2), u AS (SELECT *, n > lag(n) OVER (PARTITION BY character_id ORDER BY day) AS up FROM s),
