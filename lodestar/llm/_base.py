@@ -69,6 +69,18 @@ def hash_sample(df: DataFrame, rows: int, of: int, over: int = 2, key: str = "do
     return df.where(F.pmod(F.xxhash64(key), F.lit(bits)) < share).orderBy(F.xxhash64(key), key).limit(rows)
 
 
+def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """Rows of the largest counts, at most `most`: cut between steps of an eighth of an octave, so no task has to rank all rows."""
+    step = F.floor(F.log2(n) * 8).cast("int")
+    held, cut = 0, None
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("v")).collect(), key=lambda r: -r.s):
+        held += r.v
+        if held > most:
+            break
+        cut = r.s
+    return counts.where(step >= cut if cut is not None else F.lit(False))
+
+
 def with_fields(df: DataFrame, keep: list[str], **fields: T.DataType) -> T.StructType:
     """The schema of the columns `keep` of df, followed by new fields."""
     return T.StructType([*df.select(*keep).schema.fields, *(T.StructField(k, t) for k, t in fields.items())])

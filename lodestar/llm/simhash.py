@@ -26,14 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._base import column, components, shuffle_parts, small_batches, table, text_bytes, written
+from lodestar.llm._base import column, components, most_frequent, shuffle_parts, small_batches, table, text_bytes, written
 
 SHINGLE = 3
 SEED = 42
 DISTANCE = 3
 #: Rows of a bucket that one task verifies; more are split into block pairs.
 HOT = 20_000
-#: Most values of one partition whose counts are told to all tasks; others count as the mean.
+#: Most values a partition, on average, whose counts are told to all tasks; others count as the mean.
 KNOWN_VALUES = 20_000
 HOT_COPIES, HOT_MOST = 1_000, 1_000_000
 
@@ -259,14 +259,14 @@ def make_plan(distinct: DataFrame) -> tuple[int, Plan]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([(np.int64(i) << np.int64(40)) | value_of(fp, g) for i, g in enumerate(groups)]))], names=["key"])
 
     counts = distinct.select("fp").mapInArrow(values, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    known = counts.where("n > 1").orderBy(F.desc("n"), "key").limit(KNOWN_VALUES * m).collect()
+    known = most_frequent(written(counts.where("n > 1"), "simhash-values"), KNOWN_VALUES * m).collect()
     lists: list[list[tuple[int, int]]] = [[] for _ in groups]
     for r in known:
         lists[r.key >> 40].append((r.key & ((1 << 40) - 1), r.n))
     pairs = [(np.array([v for v, _ in sorted(x)], np.int64), np.array([c for _, c in sorted(x)], np.float64)) for x in lists]
     mean = [max(0.0, (n - c.sum())) / 2 ** min(len(g), 60) for (_, c), g in zip(pairs, groups)]
     # at most n / most of each partition's values are past it, so this list is bounded
-    most = max(HOT, n // 50_000)
+    most = max(HOT, n // (KNOWN_VALUES // 2))
     hot = {r.key: -(-r.n // most) for r in known if r.n > most}
     return n, Plan(groups, pairs, mean, hot)
 
