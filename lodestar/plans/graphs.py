@@ -182,7 +182,7 @@ def role_signals(spark: SparkSession, d: str) -> DataFrame:
     w = Window.orderBy("degree")  # one row for each distinct degree
     c = c.select("degree", ((F.sum("c").over(w) - F.col("c")) / F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("pr"))
     role = F.when(F.col("pr") >= 0.9, "coordinator").when(F.col("pr") >= 0.8, "core_line").when(F.col("degree") <= 3, "periphery").otherwise("regular")
-    return deg.join(F.broadcast(c), "degree").select("node", "degree", rnd("pr", 6).alias("pct"), role.alias("role"))
+    return deg.join(c, "degree").select("node", "degree", rnd("pr", 6).alias("pct"), role.alias("role"))
 
 
 @query("evidence_paths")
@@ -202,7 +202,7 @@ def centroid_anomaly(spark: SparkSession, d: str) -> DataFrame:
     e = V.read(spark, d, "embeddings").select("vec_id", "label", "embedding")
     c = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
     c = c.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("z")).select("label", F.transform("z", lambda s: s["m"]).alias("centroid"))
-    return e.join(F.broadcast(c), "label").select("vec_id", "label", rnd(1 - cosine(F.col("embedding"), F.col("centroid"))).alias("distance"))
+    return e.join(c, "label").select("vec_id", "label", rnd(1 - cosine(F.col("embedding"), F.col("centroid"))).alias("distance"))
 
 
 @query("embedding_topk_similarity", """WITH q AS (SELECT vec_id AS q, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q, vec_id, list_cosine_similarity(a, embedding::DOUBLE[]) AS s FROM q, embeddings WHERE vec_id <> q)
