@@ -207,9 +207,10 @@ def centroid_anomaly(spark: SparkSession, d: str) -> DataFrame:
 
 @query("embedding_topk_similarity", """WITH q AS (SELECT vec_id AS q, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q, vec_id, list_cosine_similarity(a, embedding::DOUBLE[]) AS s FROM q, embeddings WHERE vec_id <> q)
 SELECT q AS query_id, vec_id, round(s, 6) AS similarity, CAST(row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS INTEGER) AS rn FROM s QUALIFY rn <= 5""")
-def embedding_topk_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Exact most similar vectors of a fixed query set, against all rows."""
+def embedding_topk_similarity(spark: SparkSession, d: str, blocks: int = 64) -> DataFrame:
+    """Exact most similar vectors of a fixed query set, against all rows: the set meets the rows block by block, and each block sends on its best."""
     e = V.read(spark, d, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"))
-    s = e.join(q, e.vec_id != q.query_id).select("query_id", "vec_id", cosine(F.col("a"), F.col("embedding")).alias("s"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    rows = e.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    s = rows.join(q, "block").where("vec_id <> query_id").select("query_id", "vec_id", cosine(F.col("a"), F.col("embedding")).alias("s"))
     return top_k(s, ["query_id"], [F.desc("s"), "vec_id"], 5).select("query_id", "vec_id", rnd("s", 6).alias("similarity"), "rn")
