@@ -53,6 +53,16 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def partition_keys(spark: SparkSession, parts: int) -> np.ndarray:
+    """A long for each of `parts` hash partitions that repartition(parts, key) sends there: packs dealt by them fill all tasks alike."""
+    span = 16 * parts + 1000
+    while True:
+        rows = spark.range(span).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("p")).agg(F.min("id").alias("id")).collect()
+        if len(rows) == parts:
+            return np.array([r.id for r in sorted(rows, key=lambda r: r.p)], np.int64)
+        span *= 2
+
+
 def held_out(col, remainder: int, modulus: int = 5):
     """crc32(doc_id as text) mod 5 == remainder."""
     return F.crc32(col.cast("string").cast("binary")) % modulus == remainder

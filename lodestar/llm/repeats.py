@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._base import column, shuffle_parts, small_batches, table, text_bytes, written
+from lodestar.llm._base import column, partition_keys, shuffle_parts, small_batches, table, text_bytes, written
 
 LENGTH = 100
 GRAM = 24
@@ -284,9 +284,9 @@ def hot_anchors(docs: DataFrame, n_anchors: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in got], np.int64).view(np.uint64))
 
 
-def _find(docs: DataFrame, parts: int, hot_b) -> DataFrame:
+def _find(docs: DataFrame, keys: np.ndarray, hot_b) -> DataFrame:
     """kind 1: repeats (doc_id, start, end); kind 2: contexts to be compared as bytes (doc_id, start, end, h)."""
-    names = ["bucket", "repeats", "anchors"]
+    names, parts = ["bucket", "repeats", "anchors"], len(keys)
 
     def deal(kept: list[Anchors]) -> Iterator[pa.RecordBatch]:
         first, again = split(Anchors.join(kept))
@@ -301,7 +301,7 @@ def _find(docs: DataFrame, parts: int, hot_b) -> DataFrame:
         own = int(d[0]) % parts if len(d) else 0
         gone = np.ascontiguousarray(d, np.int64).tobytes() + np.ascontiguousarray(s, np.int64).tobytes() + np.ascontiguousarray(e, np.int64).tobytes()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([*buckets, own], pa.int64()), pa.array([*[None] * len(buckets), gone], pa.binary()), pa.array([*packs, None], pa.binary())], names=names
+            [pa.array(keys[[*buckets, own]]), pa.array([*[None] * len(buckets), gone], pa.binary()), pa.array([*packs, None], pa.binary())], names=names
         )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,8 +340,9 @@ def _find(docs: DataFrame, parts: int, hot_b) -> DataFrame:
     return written(dealt.mapInArrow(meet, "kind byte, doc_id long, start long, end long, h long"), "repeats-found")
 
 
-def _compare(docs: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+def _compare(docs: DataFrame, found: DataFrame, keys: np.ndarray) -> DataFrame:
     """Repeats (doc_id, start, end) among the contexts asked for, by the transform."""
+    parts = len(keys)
     asked = found.where("kind = 2").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "h")).alias("asked")).withColumnRenamed("doc_id", "_d")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +361,7 @@ def _compare(docs: DataFrame, found: DataFrame, parts: int) -> DataFrame:
                 k = o[i:j]
                 data = [texts[w][s:e] for w, s, e in zip(which[k].tolist(), start[k].tolist(), end[k].tolist())]
                 head = b"".join(np.ascontiguousarray(c, np.int64).tobytes() for c in (h[k], doc[k], start[k], np.array([len(t) for t in data])))
-                rows.append((int(bucket[k[0]]), head, b"".join(data)))
+                rows.append((int(keys[int(bucket[k[0]])]), head, b"".join(data)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "head", "data"])
 
@@ -404,8 +405,9 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     n = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_anchors = 2 * n // (SPAN + 1)
     parts = max(shuffle_parts(spark), n_anchors // 400_000 + 1)
-    found = _find(docs, parts, spark.sparkContext.broadcast(hot_anchors(docs, n_anchors)))
-    return found.where("kind = 1").select("doc_id", "start", "end").union(_compare(docs, found, parts))
+    keys = partition_keys(spark, parts)
+    found = _find(docs, keys, spark.sparkContext.broadcast(hot_anchors(docs, n_anchors)))
+    return found.where("kind = 1").select("doc_id", "start", "end").union(_compare(docs, found, keys))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from lodestar.llm import ann, warc
-from lodestar.llm._base import components, hash_sample, small_batches
+from lodestar.llm._base import components, hash_sample, partition_keys, small_batches
 from test_text_ops import odd_documents, prose
 
 
@@ -140,6 +140,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_partition_keys_fill_all_partitions(spark):
+    from pyspark.sql import functions as F
+
+    for parts in (1, 7, 211):
+        keys = partition_keys(spark, parts).tolist()
+        got = spark.createDataFrame([(k,) for k in keys], "k long").repartition(parts, "k").select("k", F.spark_partition_id().alias("p")).collect()
+        assert {r.k: r.p for r in got} == {k: i for i, k in enumerate(keys)}
+
+
 def test_sample_and_batches(spark):
     import pyarrow as pa
 
