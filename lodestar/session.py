@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import the package from where the driver has it. On a cluster without that path, install it or ship it by --py-files."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in have:
+        env["PYTHONPATH"] = os.pathsep.join([*have, root])
+
+
 def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     b = SparkSession.builder.master(master).appName("lodestar")
     base = {
