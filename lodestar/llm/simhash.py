@@ -316,9 +316,3 @@ def groups(docs: DataFrame) -> DataFrame:
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = groups(table(spark, sf_dir, "documents", "doc_id", "text"))
     return g.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest doc_id stays (rows without doc_id all stay)."""
-    keep = groups(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(keep, ["doc_id"], "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
