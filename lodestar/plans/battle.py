@@ -169,7 +169,7 @@ i AS (SELECT *, sum(CASE WHEN pe IS NULL OR epoch_us(s) - epoch_us(pe) > 2700000
 SELECT region, CAST(island AS BIGINT) AS island, count(*) AS battles, count(DISTINCT system_id) AS systems, min(s) AS started_at, max(e) AS ended_at, sha256(string_agg(battle_id, '|' ORDER BY battle_id)) AS theater_id FROM i GROUP BY 1, 2""")
 def theater_clusters(spark: SparkSession, d: str, gap_minutes: int = 45) -> DataFrame:
     """Battles of one area that begin within the gap of the latest end before them; the id hashes the sorted battle ids."""
-    g = with_battle(V.event_stream(spark, d)).where("event_id % 40 = 0").groupBy("battle_id", (F.col("system_id") % 3).alias("region")).agg(F.min("system_id").alias("system_id"), F.min("ts").alias("s"), F.max("ts").alias("e"))
+    g = with_battle(V.event_stream(spark, d)).groupBy("battle_id", (F.col("system_id") % 3).alias("region")).agg(F.min("system_id").alias("system_id"), F.min("ts").alias("s"), F.max("ts").alias("e"))
     i = gap_islands(g, ["region"], "s", "e", "battle_id", gap_minutes * 60)
     return i.groupBy("region", "island").agg(F.count(F.lit(1)).alias("battles"), F.countDistinct("system_id").alias("systems"), F.min("s").alias("started_at"), F.max("e").alias("ended_at"), F.sha2(F.array_join(F.array_sort(F.collect_list("battle_id")), "|"), 256).alias("theater_id"))
 
