@@ -122,11 +122,12 @@ def repeat_targeting(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.attacker, count(*) AS attacks, count(DISTINCT km.victim_character_id) AS victims FROM a JOIN km USING (sequence_id) JOIN p x ON x.character_id = a.attacker AND x.since <= killmail_time JOIN p y ON y.character_id = km.victim_character_id AND y.org = x.org AND y.since <= killmail_time WHERE x.org = '1-URGENT' GROUP BY 1""")
 def former_allies_attacking(spark: SparkSession, d: str) -> DataFrame:
     """Attacks on those with whom the attacker has shared an organisation before."""
-    p = V.membership(spark, d).where("org = '1-URGENT'").groupBy("character_id", "org").agg(F.min("start_at").alias("since"))
+    p = V.membership(spark, d).groupBy("character_id", "org").agg(F.min("start_at").alias("since"))
     a = V.attackers(spark, d).select("sequence_id", (F.col("character_id") - 1).alias("attacker")).distinct()
     j = a.join(V.killmails(spark, d).select("sequence_id", "killmail_time", "victim_character_id"), "sequence_id")
-    j = j.join(p.select(F.col("character_id").alias("attacker"), F.col("since").alias("sa")), "attacker").join(p.select(F.col("character_id").alias("victim_character_id"), F.col("since").alias("sv")), "victim_character_id")
-    return j.where("sa <= killmail_time and sv <= killmail_time").groupBy("attacker").agg(F.count(F.lit(1)).alias("attacks"), F.countDistinct("victim_character_id").alias("victims"))
+    j = j.join(p.select(F.col("character_id").alias("attacker"), "org", F.col("since").alias("sa")), "attacker").join(p.select(F.col("character_id").alias("victim_character_id"), "org", F.col("since").alias("sv")), ["victim_character_id", "org"])
+    # an attack counts once, however many organisations the two have shared
+    return j.where("sa <= killmail_time and sv <= killmail_time").select("sequence_id", "attacker", "victim_character_id").distinct().groupBy("attacker").agg(F.count(F.lit(1)).alias("attacks"), F.countDistinct("victim_character_id").alias("victims"))
 
 
 @query("system_alerts", V.ctes("km") + """, t AS (SELECT max(killmail_time) AS m FROM km), s AS (SELECT system_id, count(CASE WHEN killmail_time >= m - INTERVAL 7 DAY THEN 1 END) AS w, count(CASE WHEN killmail_time >= m - INTERVAL 30 DAY THEN 1 END) AS mth FROM km, t GROUP BY 1)

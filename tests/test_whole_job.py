@@ -28,3 +28,16 @@ def test_theaters_hold_all_battles(spark):
         last[2], last[3] = max(last[2], end), last[3] + 1
     assert got.battles.sum() == len(battles)
     assert sorted(zip(got.region, got.started_at, got.ended_at, got.battles)) == sorted(map(tuple, want))
+
+
+def test_former_allies_of_any_organisation(spark):
+    got = Q["former_allies_attacking"](spark, SF).collect()
+    since = {}
+    for who, org, at in sql("SELECT o_custkey, o_orderpriority, min(o_orderdate) FROM orders GROUP BY 1, 2"):
+        since.setdefault(who, {})[org] = at
+    attacks = {}
+    for attacker, victim, at in sql("SELECT l_suppkey, o_custkey, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, o_orderkey"):
+        x, y = since.get(attacker, {}), since.get(victim, {})
+        if any(x[o] <= at and y[o] <= at for o in x.keys() & y.keys()):
+            attacks.setdefault(attacker, []).append(victim)
+    assert {(r.attacker, r.attacks, r.victims) for r in got} == {(a, len(v), len(set(v))) for a, v in attacks.items()} and attacks
