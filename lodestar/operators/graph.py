@@ -232,7 +232,7 @@ def fast_rp(e: DataFrame, dims: int = 64, weights=(0.0, 1.0, 1.0, 0.8, 0.4), see
     return total.select("node", F.col("t").alias("embedding"))
 
 
-def evidence_paths(e: DataFrame, sources: DataFrame, targets: DataFrame, most: int = 3) -> DataFrame:
+def evidence_paths(e: DataFrame, sources: DataFrame, targets: DataFrame, most: int = 4) -> DataFrame:
     """Shortest path of each source to its nearest target over edges (src, dst, w); score is the product of weights. Ties: best score, then path."""
     p = sources.select("source", F.array("source").alias("path"), F.lit(1.0).alias("score"))
     done, hit = [], targets.select(F.col("target").alias("_t"))

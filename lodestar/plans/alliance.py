@@ -139,17 +139,18 @@ p3 AS (SELECT a.src AS s1, a.dst AS s2, b.dst AS s3 FROM e a JOIN e b ON a.dst =
 al AS (SELECT concat_ws('-', s1, s2, s3) AS path, s1, s3 AS sn, 3 AS len, x.n + y.n + z.n AS total FROM p3 JOIN act x ON x.system_id = s1 JOIN act y ON y.system_id = s2 JOIN act z ON z.system_id = s3
 UNION ALL SELECT concat_ws('-', s1, s2, s3, s4), s1, s4, 4, x.n + y.n + z.n + w.n FROM p4 JOIN act x ON x.system_id = s1 JOIN act y ON y.system_id = s2 JOIN act z ON z.system_id = s3 JOIN act w ON w.system_id = s4)
 SELECT path, CAST(len AS INTEGER) AS length, CAST(total AS BIGINT) AS kills, round(total / len * (1 + 0.1 * len), 6) AS score FROM al WHERE s1 < sn""")
-def threat_corridors(spark: SparkSession, d: str, most: int = 4) -> DataFrame:
-    """Simple paths over active systems only, of 3 to `most` systems, first end before the last."""
+def threat_corridors(spark: SparkSession, d: str, most: int = 5) -> DataFrame:
+    """Simple paths over active systems only, of 2 to `most` systems, first end before the last."""
     n = V.killmails(spark, d).groupBy("system_id").agg(F.count(F.lit(1)).alias("n"))
     cut = F.broadcast(n.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n)").alias("cut")))
     act = n.join(cut, F.col("n") >= F.col("cut")).select("system_id", "n")
     e = V.system_graph(spark, d).join(act.select(F.col("system_id").alias("src")), "src", "left_semi").join(act.select(F.col("system_id").alias("dst"), "n"), "dst")
     p = e.join(act.select(F.col("system_id").alias("src"), F.col("n").alias("n0")), "src").select(F.array("src", "dst").alias("path"), (F.col("n0") + F.col("n")).alias("total"))
     out = None
-    for k in range(3, most + 1):
+    for k in range(2, most + 1):
         step = e.select(F.col("src").alias("_at"), F.col("dst").alias("_to"), F.col("n").alias("_n"))
-        p = p.join(step, F.element_at("path", -1) == F.col("_at")).where(~F.array_contains("path", F.col("_to"))).select(F.concat("path", F.array("_to")).alias("path"), (F.col("total") + F.col("_n")).alias("total"))
+        if k > 2:
+            p = p.join(step, F.element_at("path", -1) == F.col("_at")).where(~F.array_contains("path", F.col("_to"))).select(F.concat("path", F.array("_to")).alias("path"), (F.col("total") + F.col("_n")).alias("total"))
         row = p.where(F.element_at("path", 1) < F.element_at("path", -1)).select(F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), F.lit(k).alias("length"), F.col("total").alias("kills"), rnd(F.col("total") / k * (1 + 0.1 * k), 6).alias("score"))
         out = row if out is None else out.union(row)
     return out

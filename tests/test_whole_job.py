@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 
+from lodestar.operators import graph as G
 from lodestar.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,23 @@ def test_former_allies_of_any_organisation(spark):
         if any(x[o] <= at and y[o] <= at for o in x.keys() & y.keys()):
             attacks.setdefault(attacker, []).append(victim)
     assert {(r.attacker, r.attacks, r.victims) for r in got} == {(a, len(v), len(set(v))) for a, v in attacks.items()} and attacks
+
+
+def test_corridors_have_two_to_five_systems(spark):
+    kills = dict(sql("SELECT o_orderkey % 25, count(*) FROM orders GROUP BY 1"))
+    cut = sorted(kills.values())[(len(kills) + 1) // 2 - 1]
+    active = {s for s, n in kills.items() if n >= cut}
+    near = {s: {(s + k) % 25 for k in (1, -1, 5, -5)} & active for s in active}
+    paths, want = [(s,) for s in active], set()
+    for _ in range(4):
+        paths = [(*p, s) for p in paths for s in near[p[-1]] if s not in p]
+        want |= {("-".join(map(str, p)), len(p), sum(kills[s] for s in p)) for p in paths if p[0] < p[-1]}
+    got = Q["threat_corridors"](spark, SF).collect()
+    assert {(r.path, r.length, r.kills) for r in got} == want and len(got) == len(want)
+    assert {r.length for r in got} == {2, 3, 4, 5}
+
+
+def test_evidence_four_hops_away(spark):
+    e = spark.createDataFrame([(k, k + 1, 0.5) for k in range(1, 6)], "src long, dst long, w double")
+    got = G.evidence_paths(e, spark.createDataFrame([(1,), (2,)], "source long"), spark.createDataFrame([(6,)], "target long")).collect()
+    assert [(r.source, r.hops) for r in got] == [(2, 4)]
