@@ -58,13 +58,13 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     """Accumulating upsert: first seen kept, last seen folded, counts added."""
     e = V.read(spark, d, "events")
     agg = lambda df: df.groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("n"))
-    return R.upsert(agg(e.where("event_id % 2 = 0")), agg(e.where("event_id % 2 = 1 and user_id % 3 <> 0")), ["user_id"], keep_first=["first_seen"], greatest=["last_seen"], add=["n"])
+    return R.upsert(agg(e.where("event_id % 2 = 0")), agg(e.where("event_id % 2 = 1")), ["user_id"], keep_first=["first_seen"], greatest=["last_seen"], add=["n"])
 
 
 @query("insert_if_absent", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 6 = 0 AND c_custkey % 4 <> 0")
 def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     c = V.read(spark, d, "customer").select("c_custkey", "c_name")
-    return R.insert_absent(c.where("c_custkey % 4 = 0"), c.where("c_custkey % 6 = 0"), ["c_custkey"])
+    return R.insert_absent(c.where("c_custkey % 4 = 0"), c.where("c_custkey % 4 <> 0 or c_custkey % 6 = 0"), ["c_custkey"])
 
 
 @query("spaced_events")

@@ -62,3 +62,10 @@ def test_evidence_four_hops_away(spark):
     e = spark.createDataFrame([(k, k + 1, 0.5) for k in range(1, 6)], "src long, dst long, w double")
     got = G.evidence_paths(e, spark.createDataFrame([(1,), (2,)], "source long"), spark.createDataFrame([(6,)], "target long")).collect()
     assert [(r.source, r.hops) for r in got] == [(2, 4)]
+
+
+def test_both_sides_hold_every_row(spark):
+    got = [tuple(r) for r in Q["insert_if_absent"](spark, SF).select("c_custkey", "c_name").collect()]
+    assert sorted(got) == sorted(sql("SELECT c_custkey, c_name FROM customer"))
+    got = [tuple(r) for r in Q["upsert_merge"](spark, SF).select("user_id", "n", "last_seen").collect()]
+    assert sorted(got) == sorted(sql("SELECT user_id, count(*), max(ts) FROM events GROUP BY 1"))
