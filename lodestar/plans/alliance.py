@@ -135,9 +135,12 @@ ACTIVE = V.ctes("km", "sg") + ", act AS (SELECT system_id, count(*) AS n FROM km
 
 
 @query("threat_corridors", ACTIVE + """, e AS (SELECT src, dst FROM sg WHERE src IN (SELECT system_id FROM act) AND dst IN (SELECT system_id FROM act)),
-p3 AS (SELECT a.src AS s1, a.dst AS s2, b.dst AS s3 FROM e a JOIN e b ON a.dst = b.src WHERE b.dst <> a.src), p4 AS (SELECT p3.*, c.dst AS s4 FROM p3 JOIN e c ON s3 = c.src WHERE c.dst NOT IN (s1, s2)),
-al AS (SELECT concat_ws('-', s1, s2, s3) AS path, s1, s3 AS sn, 3 AS len, x.n + y.n + z.n AS total FROM p3 JOIN act x ON x.system_id = s1 JOIN act y ON y.system_id = s2 JOIN act z ON z.system_id = s3
-UNION ALL SELECT concat_ws('-', s1, s2, s3, s4), s1, s4, 4, x.n + y.n + z.n + w.n FROM p4 JOIN act x ON x.system_id = s1 JOIN act y ON y.system_id = s2 JOIN act z ON z.system_id = s3 JOIN act w ON w.system_id = s4)
+p2 AS (SELECT src AS s1, dst AS s2, x.n + y.n AS total FROM e JOIN act x ON x.system_id = src JOIN act y ON y.system_id = dst),
+p3 AS (SELECT p2.* EXCLUDE (total), dst AS s3, total + n AS total FROM p2 JOIN e ON s2 = src JOIN act ON system_id = dst WHERE dst <> s1),
+p4 AS (SELECT p3.* EXCLUDE (total), dst AS s4, total + n AS total FROM p3 JOIN e ON s3 = src JOIN act ON system_id = dst WHERE dst NOT IN (s1, s2)),
+p5 AS (SELECT p4.* EXCLUDE (total), dst AS s5, total + n AS total FROM p4 JOIN e ON s4 = src JOIN act ON system_id = dst WHERE dst NOT IN (s1, s2, s3)),
+al AS (SELECT concat_ws('-', s1, s2) AS path, s1, s2 AS sn, 2 AS len, total FROM p2 UNION ALL SELECT concat_ws('-', s1, s2, s3), s1, s3, 3, total FROM p3
+UNION ALL SELECT concat_ws('-', s1, s2, s3, s4), s1, s4, 4, total FROM p4 UNION ALL SELECT concat_ws('-', s1, s2, s3, s4, s5), s1, s5, 5, total FROM p5)
 SELECT path, CAST(len AS INTEGER) AS length, CAST(total AS BIGINT) AS kills, round(total / len * (1 + 0.1 * len), 6) AS score FROM al WHERE s1 < sn""")
 def threat_corridors(spark: SparkSession, d: str, most: int = 5) -> DataFrame:
     """Simple paths over active systems only, of 2 to `most` systems, first end before the last."""

@@ -163,7 +163,7 @@ def battle_types(spark: SparkSession, d: str, third_sides: int = 5, timer_n: int
     return g.join(a, "battle_id").select("battle_id", "n", "sides", rnd("imbalance", 6).alias("imbalance"), kind.alias("battle_type"), rnd(conf, 6).alias("confidence"))
 
 
-@query("theater_clusters", BATTLE + """, g AS (SELECT battle_id, min(system_id) AS system_id, system_id % 3 AS region, min(ts) AS s, max(ts) AS e FROM b WHERE event_id % 40 = 0 GROUP BY battle_id, system_id % 3),
+@query("theater_clusters", BATTLE + """, g AS (SELECT battle_id, min(system_id) AS system_id, system_id % 3 AS region, min(ts) AS s, max(ts) AS e FROM b GROUP BY battle_id, system_id % 3),
 o AS (SELECT *, max(e) OVER (PARTITION BY region ORDER BY s, battle_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM g),
 i AS (SELECT *, sum(CASE WHEN pe IS NULL OR epoch_us(s) - epoch_us(pe) > 2700000000 THEN 1 ELSE 0 END) OVER (PARTITION BY region ORDER BY s, battle_id ROWS UNBOUNDED PRECEDING) AS island FROM o)
 SELECT region, CAST(island AS BIGINT) AS island, count(*) AS battles, count(DISTINCT system_id) AS systems, min(s) AS started_at, max(e) AS ended_at, sha256(string_agg(battle_id, '|' ORDER BY battle_id)) AS theater_id FROM i GROUP BY 1, 2""")

@@ -52,7 +52,7 @@ def shared(spark: SparkSession, name: str) -> str:
 _OWN: list = []
 
 
-@query("upsert_merge", """WITH o AS (SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1), u AS (SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events WHERE event_id % 2 = 1 AND user_id % 3 <> 0 GROUP BY 1)
+@query("upsert_merge", """WITH o AS (SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1), u AS (SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY 1)
 SELECT coalesce(o.user_id, u.user_id) AS user_id, coalesce(o.first_seen, u.first_seen) AS first_seen, greatest(o.last_seen, u.last_seen) AS last_seen, coalesce(o.n, 0) + coalesce(u.n, 0) AS n FROM o FULL JOIN u ON o.user_id = u.user_id""")
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     """Accumulating upsert: first seen kept, last seen folded, counts added."""
@@ -61,7 +61,7 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     return R.upsert(agg(e.where("event_id % 2 = 0")), agg(e.where("event_id % 2 = 1")), ["user_id"], keep_first=["first_seen"], greatest=["last_seen"], add=["n"])
 
 
-@query("insert_if_absent", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 6 = 0 AND c_custkey % 4 <> 0")
+@query("insert_if_absent", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT c_custkey, c_name FROM customer n WHERE (c_custkey % 4 <> 0 OR c_custkey % 6 = 0) AND NOT EXISTS (SELECT 1 FROM customer o WHERE o.c_custkey % 4 = 0 AND o.c_custkey = n.c_custkey)")
 def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     c = V.read(spark, d, "customer").select("c_custkey", "c_name")
     return R.insert_absent(c.where("c_custkey % 4 = 0"), c.where("c_custkey % 4 <> 0 or c_custkey % 6 = 0"), ["c_custkey"])

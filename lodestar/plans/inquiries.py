@@ -118,8 +118,10 @@ def repeat_targeting(spark: SparkSession, d: str) -> DataFrame:
     return s.where("kills >= 5 and kills / total >= 0.06").select("character_id", "victim_alliance_id", "kills", rnd(F.col("kills") / F.col("total"), 6).alias("share"))
 
 
-@query("former_allies_attacking", V.ctes("mh", "km", "ka") + """, p AS (SELECT character_id, org, min(start_at) AS since FROM mh GROUP BY 1, 2), a AS (SELECT DISTINCT sequence_id, character_id - 1 AS attacker FROM ka)
-SELECT a.attacker, count(*) AS attacks, count(DISTINCT km.victim_character_id) AS victims FROM a JOIN km USING (sequence_id) JOIN p x ON x.character_id = a.attacker AND x.since <= killmail_time JOIN p y ON y.character_id = km.victim_character_id AND y.org = x.org AND y.since <= killmail_time WHERE x.org = '1-URGENT' GROUP BY 1""")
+@query("former_allies_attacking", V.ctes("mh", "km", "ka") + """, p AS (SELECT character_id, org, min(start_at) AS since FROM mh GROUP BY 1, 2), a AS (SELECT DISTINCT sequence_id, character_id - 1 AS attacker FROM ka),
+h AS (SELECT DISTINCT sequence_id, a.attacker, km.victim_character_id FROM a JOIN km USING (sequence_id) JOIN p x ON x.character_id = a.attacker AND x.since <= killmail_time
+JOIN p y ON y.character_id = km.victim_character_id AND y.org = x.org AND y.since <= killmail_time)
+SELECT attacker, count(*) AS attacks, count(DISTINCT victim_character_id) AS victims FROM h GROUP BY 1""")
 def former_allies_attacking(spark: SparkSession, d: str) -> DataFrame:
     """Attacks on those with whom the attacker has shared an organisation before."""
     p = V.membership(spark, d).groupBy("character_id", "org").agg(F.min("start_at").alias("since"))
