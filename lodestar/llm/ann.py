@@ -1,16 +1,20 @@
 """Approximate nearest neighbours by learned partitions.
 
 A neighbour graph over a bounded sample is cut into balanced parts (recursive spectral bisection at the median, then swaps that keep
-the balance). A small network learns the part of a vector from its neighbours' parts. Every vector of the table is indexed under its
-most probable part; a query goes to its most probable parts, as many as reach TARGET_RECALL on the sample, and is reranked there by
-exact cosine in double precision.
+the balance). A small network learns the parts of a vector and its neighbours. Every vector of the table is indexed under its COPIES most
+probable parts; a query goes to its most probable parts and is reranked there by exact cosine in double precision.
+
+How many parts a query goes to is measured: for a few vectors outside the training sample the true neighbours are found among all rows,
+and the fewest parts are taken that hold TARGET_RECALL of them, a quarter of all parts at most. The same holds at every size.
 
 Equal vectors are indexed once with their smallest ids, as many as a result can hold, so a vector that many rows share costs as
 much as one. Parts are split into blocks of bounded size by vector, and queries of a part into blocks too; only the best of each block
 pair go on.
 
 Defined results: vectors that are null, of another length than most, zero, or with null or non-finite components take no part, as
-queries or candidates; fewer candidates than asked for give fewer rows; equal scores go to the smaller id.
+queries or candidates; null ids neither; fewer candidates than asked for give fewer rows; equal scores go to the smaller id. Rows that
+repeat an id with one vector are one row; an id with several vectors is asked with each, and a candidate counts by its best score. No row
+of the query's own id is a candidate.
 """
 
 from __future__ import annotations
@@ -22,16 +26,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestar.llm._base import column, shuffle_parts, table, written
+from lodestar.llm._base import column, table, written
 
 TOP = 5
-SAMPLE = 8192
+#: Vectors that the graph and the network are fitted on, those of the smallest hash.
+SAMPLE = 16_384
+#: Vectors whose true neighbours among all rows tell how many parts to probe.
+MEASURED = 256
 NEIGHBOURS = 10
 HIDDEN = 96
-TARGET_RECALL = 0.98
-PART_ROWS = 2000
-MOST_PARTS = 128
+TARGET_RECALL = 0.94
+#: Parts that a vector is indexed under.
+COPIES = 4
+#: Vectors for each part, up to MOST_PARTS parts, as many as the sample can tell apart.
+PART_ROWS = 40
+MOST_PARTS = SAMPLE // 16
 BLOCK_ROWS = 20_000
 
 
@@ -55,8 +66,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest other rows of each row, by blocks."""
-    out = np.zeros((len(x), min(k, len(x) - 1)), np.int64)
-    for s in range(0, len(x), 1024):
+    out = np.zeros((len(x), max(0, min(k, len(x) - 1))), np.int64)
+    for s in range(0, len(x) if out.shape[1] else 0, 1024):
         sim = x[s : s + 1024] @ x.T
         sim[np.arange(len(sim)), np.arange(s, s + len(sim))] = -np.inf
         near = np.argpartition(-sim, out.shape[1] - 1, axis=1)[:, : out.shape[1]]
@@ -113,7 +124,6 @@ class Router:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
-    probes: int = 1
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
@@ -130,7 +140,7 @@ def train_router(x: np.ndarray, soft: np.ndarray, steps: int = 900, batch: int =
     r = Router((rng.normal(size=(d, HIDDEN)) * (2 / d) ** 0.5 * d**0.5 / 2).astype(f), np.zeros(HIDDEN, f), (rng.normal(size=(HIDDEN, p)) * HIDDEN**-0.5).astype(f), np.zeros(p, f))
     params = [r.w1, r.b1, r.w2, r.b2]
     m, v = [np.zeros_like(q) for q in params], [np.zeros_like(q) for q in params]
-    for t in range(1, steps + 1):
+    for t in range(1, steps + 1 if len(x) else 1):
         i = rng.integers(0, len(x), batch)
         h = np.maximum(x[i] @ r.w1 + r.b1, 0)
         z = h @ r.w2 + r.b2
@@ -144,26 +154,15 @@ def train_router(x: np.ndarray, soft: np.ndarray, steps: int = 900, batch: int =
     return r
 
 
-def fit(sample: np.ndarray, parts: int, top: int = TOP, target: float = TARGET_RECALL) -> Router:
-    """The router of a sample of unit vectors. probes: the fewest parts that hold `target` of the sample's true neighbours."""
-    if len(sample) < 4 * parts or parts < 2:
-        d = sample.shape[1]
-        return Router(np.zeros((d, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32), 1)
+def fit(sample: np.ndarray, parts: int) -> Router:
+    """The router of a sample of unit vectors: soft labels are the parts of a vector and its neighbours in the graph."""
     near = neighbours(sample, NEIGHBOURS)
     label = balanced_parts(near, parts)
     soft = np.zeros((len(sample), parts), np.float32)
     np.add.at(soft, (np.arange(len(sample)), label), 1.0)
     for k in range(near.shape[1]):
         np.add.at(soft, (np.arange(len(sample)), label[near[:, k]]), 1.0)
-    fold = np.arange(len(sample)) % 5 == 0  # held out of training, to set the probes
-    r = train_router(sample[~fold], soft[~fold] / soft[~fold].sum(1, keepdims=True))
-    home = r.parts(sample, 1)[:, 0]
-    order = r.parts(sample[fold], parts)
-    rank = np.argsort(order, axis=1)
-    true = neighbours(sample, top)[fold]
-    reached = np.take_along_axis(rank, home[true], 1)
-    r.probes = next(k for k in range(1, parts + 1) if k == parts or (reached < k).mean() >= target)
-    return r
+    return train_router(sample, soft / (1.0 + near.shape[1]))
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -186,87 +185,154 @@ def best_rows(q: np.ndarray, x: np.ndarray, ids: list[list[int]], k: int) -> lis
     return out
 
 
-def distinct_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, keep: int) -> DataFrame:
-    """key (md5 of the vector), vec and its `keep` smallest ids, of all usable vectors."""
+def vectors(col: pa.Array, dtype: str) -> np.ndarray:
+    """Rows of packed vectors, in double precision."""
+    return np.frombuffer(b"".join(col.to_pylist()), dtype).reshape(len(col), -1).astype(np.float64)
+
+
+def packed(df: DataFrame, id_col: str, vec_col: str, dim: int, dtype: str) -> DataFrame:
+    """id, vec (bytes) and its md5 as key, of the rows with an id and a usable vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, rows = matrix(column(b, "vec"), dim)
-            idv = column(b, "id").to_numpy(zero_copy_only=False)[rows]
-            seen: dict[bytes, list] = {}
-            for i, v in zip(idv, x):
-                seen.setdefault(v.tobytes(), []).append(i)
-            got = [(k, int(i)) for k, v in seen.items() for i in sorted(v)[:keep]]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int64())], names=["vec", "id"])
-
-    one = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null").mapInArrow(run, "vec binary, id long").withColumn("key", F.md5("vec"))
+            ids = column(b, "id").to_numpy(zero_copy_only=False)[rows].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([v.tobytes() for v in x.astype(dtype) + 0], pa.binary())], names=["id", "vec"])
+
+    some = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null")
+    return some.mapInArrow(run, "id long, vec binary").withColumn("key", F.md5("vec"))
+
+
+def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
+    """key, vec and its `keep` smallest ids, of packed rows. A hot vector meets in its `keep` rows of each task only."""
     w = Window.partitionBy("key").orderBy("id")
-    few = one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep)
+    few = rows.dropDuplicates(["key", "id"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep)
     return few.groupBy("key").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def search(df: DataFrame, id_col: str, vec_col: str, is_query, top: int = TOP) -> DataFrame:
-    """query_id, rank, id and score: for the rows that is_query selects, the nearest rows but the query itself."""
+def probes_needed(homes: DataFrame, router_b, asked: np.ndarray, keys: list[str], dtype: str, parts: int, top: int, target: float) -> tuple[int, float]:
+    """The fewest parts that hold `target` of the true neighbours of the vectors `asked` among all rows, a quarter of all at most, and
+    the share that so many parts hold. Tasks send their nearest rows with the rank of the part that has them."""
+    if not len(asked):
+        return 1, 1.0  # fewer than 8 vectors: two parts, and each vector is in both
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, own = unit(asked), {k: i for i, k in enumerate(keys)}
+        rank = np.argsort(router_b.value.parts(q, parts), 1)
+        best = np.full((len(q), top), -np.inf)
+        reach = np.zeros((len(q), top), np.int64)
+        for b in batches:
+            x = vectors(column(b, "vec"), dtype)
+            if not len(x):
+                continue
+            at = np.stack(column(b, "parts").to_pylist())
+            sim = q.astype(np.float64) @ unit(x).astype(np.float64).T
+            for j, key in enumerate(column(b, "key").to_pylist()):
+                if key in own:
+                    sim[own[key], j] = -np.inf
+            take = min(top, len(x))
+            i = np.argpartition(-sim, take - 1, axis=1)[:, :take]
+            r = np.stack([rank[k][at[j]].min(1) for k, j in enumerate(i)])
+            best, reach = np.concatenate([best, np.take_along_axis(sim, i, 1)], 1), np.concatenate([reach, r], 1)
+            o = np.argsort(-best, 1, kind="stable")[:, :top]
+            best, reach = np.take_along_axis(best, o, 1), np.take_along_axis(reach, o, 1)
+        query, k = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(best[query, k]), pa.array(reach[query, k])], names=["query", "score", "reach"])
+
+    rows = homes.select("key", "vec", "parts").mapInArrow(run, "query long, score double, reach long")
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "reach"))).where(F.col("r") <= top)
+    reach = np.array([r.reach for r in rows.select("reach").collect()])  # MEASURED * top at most
+    k = next(k for k in range(1, parts + 1) if (reach < k).mean() >= target)
+    k = min(k, max(1, parts // 4))
+    return k, float((reach < k).mean())
+
+
+@dataclass
+class Index:
+    """homes: key, vec, ids and the parts of each distinct vector; probes: parts a query goes to; recall: measured at that many."""
+
+    homes: DataFrame
+    router_b: object
+    dim: int
+    dtype: str
+    parts: int
+    probes: int
+    recall: float
+
+
+def build(df: DataFrame, id_col: str, vec_col: str, top: int = TOP) -> Index:
     spark = df.sparkSession
     dims = df.select(F.size(vec_col).alias("d")).where("d > 0").groupBy("d").count().orderBy(F.desc("count"), "d").first()
     dim = dims.d if dims else 0
-    index = written(distinct_vectors(df, id_col, vec_col, dim, top + 1), "ann-index")
+    dtype = "<f4" if isinstance(df.schema[vec_col].dataType.elementType, T.FloatType) else "<f8"
+    index = written(distinct_vectors(packed(df, id_col, vec_col, dim, dtype), top + 1), "ann-index")
     n = index.count()
-    parts = 1 << max(0, min(MOST_PARTS.bit_length() - 1, round(np.log2(max(n, 1) / PART_ROWS))))
-    # keys are hashes; twice the sample is let through, whatever the number of tasks
-    top_key = f"{min(0xFFFFFFFF, int(2 * SAMPLE / max(n, 1) * 2**32)):08x}g"
-    sample = index.where(F.col("key") < top_key).orderBy("key").limit(SAMPLE).select("vec").toArrow()
-    sample = np.frombuffer(b"".join(sample.column("vec").to_pylist()), np.float64).reshape(-1, max(dim, 1))
-    router_b = spark.sparkContext.broadcast(fit(unit(sample) if len(sample) else np.zeros((0, max(dim, 1)), np.float32), parts))
-
-    def route(probes: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            r = router_b.value
-            for b in batches:
-                x = np.frombuffer(b"".join(column(b, "vec").to_pylist()), np.float64).reshape(b.num_rows, -1)
-                to = r.parts(unit(x), r.probes if probes else 1) if b.num_rows else np.zeros((0, 1), np.int64)
-                yield pa.RecordBatch.from_arrays([column(b, "key"), column(b, "vec"), column(b, "ids"), pa.array(to.tolist(), pa.list_(pa.int32()))], names=["key", "vec", "ids", "parts"])
-
-        return run
-
-    schema = "key string, vec binary, ids array<long>, parts array<int>"
-    homes = written(index.mapInArrow(route(False), schema).select("key", "vec", "ids", F.col("parts")[0].alias("part")), "ann-homes")
-    queries = df.where(is_query).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
-    asked = distinct_vectors(queries, "id", "vec", dim, 1)
-    asked = written(asked.mapInArrow(route(True), schema).select("key", "vec", F.explode("parts").alias("part")), "ann-queries")
-    sizes = homes.groupBy("part").agg(F.count(F.lit(1)).alias("n")).join(asked.groupBy("part").agg(F.count(F.lit(1)).alias("q")), "part", "left")
-    sizes = sizes.select("part", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("cbs"), F.ceil(F.greatest(F.coalesce("q", F.lit(1)), F.lit(1)) / BLOCK_ROWS).cast("int").alias("qbs"))
-    dim_b = F.broadcast(sizes)  # at most MOST_PARTS rows
+    parts = 1 << min(MOST_PARTS.bit_length() - 1, max(1, round(np.log2(max(n, 1) / PART_ROWS))))
+    measured = min(MEASURED, n // 8)
+    # keys are hashes; twice what is wanted is let through, whatever the number of tasks
+    wanted = SAMPLE + measured
+    top_key = f"{min(0xFFFFFFFF, int(2 * wanted / max(n, 1) * 2**32)):08x}g"
+    got = index.where(F.col("key") < top_key).orderBy("key").limit(wanted).select("key", "vec").toArrow()
+    sample, keys = vectors(got.column("vec").combine_chunks(), dtype) if got.num_rows else np.zeros((0, max(dim, 1))), got.column("key").to_pylist()
+    router_b = spark.sparkContext.broadcast(fit(unit(sample[measured:]) if n else sample.astype(np.float32), parts))
+    copies = min(COPIES, parts)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            to = router_b.value.parts(unit(vectors(column(b, "vec"), dtype)), copies) if b.num_rows else np.zeros((0, 1), np.int64)
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("key", "vec", "ids")), pa.array(to.tolist(), pa.list_(pa.int32()))], names=["key", "vec", "ids", "parts"])
+
+    homes = written(index.mapInArrow(route, "key string, vec binary, ids array<long>, parts array<int>"), "ann-homes")
+    probes, recall = probes_needed(homes, router_b, sample[:measured], keys[:measured], dtype, parts, top, TARGET_RECALL)
+    return Index(homes, router_b, dim, dtype, parts, probes, recall)
+
+
+def met(ix: Index, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors and queries dealt to (part, block of vectors, block of queries)."""
+    router_b, dtype, probes = ix.router_b, ix.dtype, ix.probes
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            to = router_b.value.parts(unit(vectors(column(b, "vec"), dtype)), probes) if b.num_rows else np.zeros((0, 1), np.int64)
+            yield pa.RecordBatch.from_arrays([column(b, "key"), column(b, "vec"), pa.array(to.tolist(), pa.list_(pa.int32()))], names=["key", "vec", "parts"])
+
+    asked = written(asked.select("key", "vec").mapInArrow(route, "key string, vec binary, parts array<int>").select("key", "vec", F.explode("parts").alias("part")), "ann-queries")
+    homes = ix.homes.select("key", "vec", "ids", F.explode("parts").alias("part"))
+    count = lambda df, c: df.groupBy("part").agg(F.count(F.lit(1)).alias(c))
+    blocks = lambda c: F.ceil(F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)) / BLOCK_ROWS).cast("int")
+    sizes = F.broadcast(count(homes, "n").join(count(asked, "q"), "part", "left").select("part", blocks("n").alias("cbs"), blocks("q").alias("qbs")))  # MOST_PARTS rows at most
     own = lambda k: F.pmod(F.xxhash64("key"), F.col(k)).cast("int")
     all_ = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    left = homes.join(dim_b, "part").select("part", own("cbs").alias("cb"), all_("qbs").alias("qb"), "vec", "ids")
-    right = asked.join(dim_b, "part").select("part", own("qbs").alias("qb"), all_("cbs").alias("cb"), "key", "vec")
+    left = homes.join(sizes, "part").select("part", own("cbs").alias("cb"), all_("qbs").alias("qb"), "vec", "ids")
+    return left, asked.join(sizes, "part").select("part", own("qbs").alias("qb"), all_("cbs").alias("cb"), "key", "vec")
+
+
+def search(df: DataFrame, id_col: str, vec_col: str, is_query, top: int = TOP) -> DataFrame:
+    """query_id, rank, id and score: for the rows that is_query selects, the nearest rows but those of the query's id."""
+    ix = build(df, id_col, vec_col, top)
+    queries = written(packed(df.where(is_query), id_col, vec_col, ix.dim, ix.dtype).dropDuplicates(["key", "id"]), "ann-asked")
+    left, right = met(ix, distinct_vectors(queries, 1))
+    dtype = ix.dtype
 
     def meet(found, q):
         schema = pa.schema([("key", pa.string()), ("id", pa.int64()), ("score", pa.float64())])
         if not found.num_rows or not q.num_rows:
             return schema.empty_table()
-        vec = lambda t: np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float64).reshape(t.num_rows, -1)
+        vec = lambda t: vectors(t.column("vec").combine_chunks(), dtype)
         best = best_rows(vec(q), vec(found), found.column("ids").to_pylist(), top + 1)
-        keys = q.column("key").to_pylist()
-        rows = [(k, i, s) for k, b in zip(keys, best) for s, i in b]
+        rows = [(k, i, s) for k, b in zip(q.column("key").to_pylist(), best) for s, i in b]
         return pa.Table.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(schema.types)], schema=schema)
 
     on = ["part", "cb", "qb"]
     hits = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(meet, "key string, id long, score double")
-    order = [F.desc("score"), F.col("id")]
-    hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("r") <= top + 1)
-    hits = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("hits"))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, rows = matrix(column(b, "vec"), dim)
-            yield pa.RecordBatch.from_arrays([pa.array(column(b, "id").to_numpy(zero_copy_only=False)[rows].astype(np.int64)), pa.array([v.tobytes() for v in x], pa.binary())], names=["query_id", "vec"])
-
-    each = queries.where("id is not null and vec is not null").mapInArrow(keyed, "query_id long, vec binary").select("query_id", F.md5("vec").alias("key"))
-    others = F.slice(F.filter("hits", lambda h: h["id"] != F.col("query_id")), 1, top)
-    out = each.join(hits, "key").select("query_id", F.posexplode(others).alias("r", "h"))
-    return out.select("query_id", (F.col("r") + 1).cast("int").alias("rank"), F.col("h.id").alias("id"), (-F.col("h.s")).alias("score"))
+    # a vector is met in several parts: each counts once
+    nearest = lambda by, k: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "id")) <= k
+    hits = hits.groupBy("key", "id").agg(F.max("score").alias("score")).withColumn("near", nearest("key", top + 1)).where("near").drop("near")
+    hits = hits.groupBy("key").agg(F.collect_list(F.struct("id", "score")).alias("hits"))  # top + 1 at most
+    out = queries.select(F.col("id").alias("query_id"), "key").join(hits, "key").select("query_id", F.explode("hits").alias("h")).select("query_id", "h.*")
+    out = out.where("id <> query_id").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

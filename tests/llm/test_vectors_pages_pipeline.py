@@ -2,10 +2,12 @@ import base64
 import gzip
 import hashlib
 import io
+import os
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestar.llm import ann, warc
@@ -38,9 +40,8 @@ def test_ann_small_is_exact(spark, tables):
         assert g.score.tolist() == pytest.approx([s for _, s in want[q]], abs=1e-12)
 
 
-@pytest.mark.parametrize("block", [20_000, 300])
+@pytest.mark.parametrize("block", [20_000, 30])
 def test_ann_recall(spark, tables, monkeypatch, block):
-    monkeypatch.setattr(ann, "PART_ROWS", 200)
     monkeypatch.setattr(ann, "BLOCK_ROWS", block)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 8))
@@ -49,6 +50,56 @@ def test_ann_recall(spark, tables, monkeypatch, block):
     want = brute_neighbours(rows)
     hit = [len(set(g.vec_id) & {v for v, _ in want[q]}) / 5 for q, g in got.groupby("query_id")]
     assert len(hit) == len(want) and np.mean(hit) >= 0.9
+    assert got.duplicated(["query_id", "rank"]).sum() == 0 and got.duplicated(["query_id", "vec_id"]).sum() == 0
+
+
+def searched(spark, d):
+    """Recall of the five nearest against brute force, and the share of the rows that a query is compared with."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    ix = ann.build(e, "vec_id", "embedding")
+    asked = ann.distinct_vectors(ann.packed(e.where("vec_id % 50 = 0"), "vec_id", "embedding", ix.dim, ix.dtype), 1)
+    left, right = ann.met(ix, asked)
+    on = ["part", "cb", "qb"]
+    pairs = left.select(*on, F.md5("vec").alias("v")).join(right.select(*on, "key"), on).select("key", "v").distinct().count()
+    share = pairs / (ix.homes.count() * asked.count())
+    got = ann.op2_ann(spark, d).toPandas().groupby("query_id").vec_id.apply(set)
+    pdf = e.toPandas()
+    x, ids = np.stack(pdf.embedding).astype(float), pdf.vec_id.to_numpy()
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    recall = []
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = x @ x[i]
+        s[i] = -9
+        recall.append(len(got[ids[i]] & set(ids[np.argpartition(-s, 5)[:5]])) / 5)
+    assert ix.probes <= max(1, ix.parts // 4) and ix.parts > 1
+    return np.mean(recall), share
+
+
+@pytest.mark.parametrize("n", [5000, int(os.environ.get("LODESTAR_ANN_ROWS", "20000"))])
+def test_ann_searches_a_minority(spark, tmp_path, n):
+    """Clustered vectors: recall of 0.9 and more over a tenth of the rows at most."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n // 100, 16))[rng.integers(0, n // 100, n)] + 0.35 * rng.normal(size=(n, 16))
+    spark.createDataFrame([(i, v) for i, v in enumerate(x.astype(np.float32).tolist())], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    recall, share = searched(spark, str(tmp_path))
+    assert recall >= 0.9 and share < 0.1, (recall, share)
+
+
+def test_ann_given_vectors(spark):
+    """The given vectors have no neighbourhoods (independent normal components), so the share is large; README has the curve."""
+    recall, share = searched(spark, "/root/testdata/sf0.1")
+    assert recall >= 0.9 and share < 0.7, (recall, share)
+
+
+def test_ann_repeated_ids(spark, tables):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=8).tolist()
+    rows = [(50, v)] * 6 + [(i, v) for i in range(60, 65)] + [(i, rng.normal(size=8).tolist()) for i in (80, 81, 82)]
+    got = ann.op2_ann(spark, tables(embeddings=rows)).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(50, k + 1, 60 + k) for k in range(5)]
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [-1.0, -1.0])]
+    got = ann.op2_ann(spark, tables(embeddings=rows)).collect()
+    assert [(r["rank"], r.vec_id) for r in got] == [(1, 1), (2, 2), (3, 3)]
 
 
 def test_ann_few_and_none(spark, tables):
