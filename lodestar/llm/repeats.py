@@ -3,19 +3,20 @@
 Every byte goes that a 100-byte string covers which also starts earlier (smaller doc_id, or earlier in the same document).
 
 1. Anchors. In each 100-byte window the 24-byte gram of the least hash is its anchor, so equal windows have equal anchors at equal
-   places. An anchor's context is what the windows that have it cover, at most 176 bytes. Tasks drop contexts they saw before as repeats
-   and deal the rest by the anchor's hash.
-2. Per anchor hash: a context equal to an earlier one is a repeat as a whole. Hashes with only one context are done. The first of
-   each of several different contexts are asked for as bytes.
-3. The contexts of an anchor hash meet, and bounded packs of them are decided by the transform: rows are ordered as far as
-   needed, then intervals are extended backward breadth-first, which gives the common prefixes of neighbouring rows by increasing
-   value, up to 99. Rows that no such value separates agree in 100 bytes; all but the earliest of them are repeats.
+   places. An anchor's context is what the windows that have it cover, at most 176 bytes. Hashes only route: contexts whose anchors
+   have one hash meet, and the transform decides on their bytes.
+2. The transform (`repeats_in`) takes bounded packs of contexts. Contexts that are equal byte for byte are one row of text with several
+   places. Rows are ordered as far as needed, then intervals are extended backward breadth-first, which gives the common prefixes of
+   neighbouring rows by increasing value, up to 99. Rows that no such value separates agree in 100 bytes; all places but the
+   earliest are repeats.
+3. Tasks do so for the texts at hand, FLUSH_BYTES at a time, and deal one anchor of each context by its hash. Where anchors of several
+   tasks have one hash, their contexts are fetched, meet in packs and are decided in the same way.
 
 Anchor hashes that very many documents share are found on a 1/64 sample of the documents beforehand. Their windows are dealt by the
 hash of all 100 bytes instead, so that a common line or passage is spread out and added up in the tasks first. That only changes how
 rows are dealt; results are those of the other way.
 
-Contexts count as equal if two 64-bit hashes agree, of the anchor and of the context.
+Texts are read in pieces of PIECE bytes, so a long one takes no more memory than others.
 
 Defined results: null is the empty text; texts under 100 bytes have no windows; rows of one doc_id are taken as one document; rows
 without doc_id keep all bytes; an empty table gives no rows.
@@ -23,11 +24,11 @@ without doc_id keep all bytes; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,12 @@ SPAN = LENGTH - GRAM + 1  # grams in a window
 CONTEXT = LENGTH + SPAN - 1
 DEPTH = 128  # rows are ordered by so many bytes
 PACK_BYTES = 1_500_000
-FLUSH_ANCHORS = 1_500_000
+PIECE = 2 << 20
+FLUSH_BYTES = 16 << 20
+BUCKET_ANCHORS = 400_000
+MOST_PARTS = 20_000  # tasks of a shuffle; each goes through its buckets one by one
+ASKED = 50_000  # contexts that are cut from texts at once
+HASH_BITS = 64  # fewer in a test of collisions
 HOT_SHARE = 64  # 1 / share of the documents tell which anchors are hot
 HOT_ROWS = 200_000
 HOT_MOST = 1_000_000  # at most so many anchors are hot
@@ -123,8 +129,11 @@ class Anchors:
         return Anchors(*out)
 
 
-def anchors_of(texts: list[bytes], ids: np.ndarray, hot: np.ndarray | None = None) -> Anchors:
-    """The anchors of all windows of the texts; those of hot hashes as single windows."""
+def anchors_of(texts: list[bytes], ids: np.ndarray, base: np.ndarray, hot: np.ndarray | None = None, bits: int = HASH_BITS) -> tuple[Anchors, np.ndarray, np.ndarray]:
+    """The anchors of all windows of the texts, those of hot hashes as single windows; where in a buffer each stands, and the buffer.
+
+    base: where each text begins in its document.
+    """
     sizes = np.array([len(t) for t in texts], np.int64)
     x = np.frombuffer(b"".join([bytes(SPAN), *texts, bytes(LENGTH + 8)]), np.uint8)
     first = np.cumsum(sizes) - sizes + SPAN
@@ -148,11 +157,13 @@ def anchors_of(texts: list[bytes], ids: np.ndarray, hot: np.ndarray | None = Non
         j = slice(i, i + 65_536)
         rows[j] *= (k >= -before[j, None]) & (k < after[j, None])
     g = hash_rows(rows) ^ (before.astype(np.uint64) * _M[2]) ^ (after.astype(np.uint64) * _M[1])
-    out = Anchors(h[at], g, ids[doc], (at - first[doc]).astype(np.uint32), before.astype(np.uint8), after.astype(np.uint8))
+    out = Anchors(h[at], g, ids[doc], (at - first[doc] + base[doc]).astype(np.uint32), before.astype(np.uint8), after.astype(np.uint8))
+    few = np.uint64((1 << bits) - 1)
     if hot is None or not len(hot):
-        return out
+        out.h, out.g = out.h & few, out.g & few
+        return out, at, x
     is_hot = np.isin(out.h, hot)
-    parts = [out.take(~is_hot)]
+    parts, places = [out.take(~is_hot)], [at[~is_hot]]
     for off in range(SPAN) if is_hot.any() else ():  # windows that start `off` before the anchor
         sel = is_hot & (before >= off) & (after + off >= LENGTH)
         w = np.lib.stride_tricks.sliding_window_view(x, LENGTH)[at[sel] - off]
@@ -161,19 +172,10 @@ def anchors_of(texts: list[bytes], ids: np.ndarray, hot: np.ndarray | None = Non
         h2 = hash_rows(np.ascontiguousarray(w[:, ::-1]))
         n = int(sel.sum())
         parts.append(Anchors(h1, h2, out.doc[sel], (out.pos[sel] - off).astype(np.uint32), np.zeros(n, np.uint8), np.full(n, LENGTH, np.uint8)))
-    return Anchors.join(parts)
-
-
-def split(a: Anchors) -> tuple[Anchors, Anchors]:
-    """The earliest anchor of each context, and the others."""
-    o = np.lexsort((a.pos, a.doc, a.g, a.h))
-    a = a.take(o)
-    if not len(a):
-        return a, a
-    new = np.append(True, (a.h[1:] != a.h[:-1]) | (a.g[1:] != a.g[:-1]))
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-    again = (a.doc != a.doc[lead]) | (a.pos != a.pos[lead])  # not one anchor that was met twice
-    return a.take(new), a.take(again)
+        places.append(at[sel] - off)
+    out = Anchors.join(parts)
+    out.h, out.g = out.h & few, out.g & few
+    return out, np.concatenate(places), x
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,8 +250,8 @@ def common_prefixes(x: np.ndarray, rows: np.ndarray, least: int = LENGTH) -> np.
     return out[:n]
 
 
-def repeated(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (document, start) within the contexts that equal one of an earlier start. data: the contexts, a 0 after each."""
+def repeated(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows within the contexts, by the transform: context, offset, and whether an equal one starts earlier. data: the contexts, a 0 after each."""
     rows = row_order(data)
     group = np.cumsum(common_prefixes(data, rows) >= 0)
     first = np.cumsum(sizes + 1) - sizes - 1
@@ -258,24 +260,92 @@ def repeated(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, place: np.nda
     keep = off + LENGTH <= sizes[ctx]
     group, ctx, off = group[keep], ctx[keep], off[keep]
     if not len(ctx):
-        return doc[:0], place[:0]
+        return ctx, off, keep[:0]
     at = np.unique(doc, return_inverse=True)[1].ravel()[ctx].astype(np.int64) << 34
     at += place[ctx] + off
     cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     low = np.repeat(np.minimum.reduceat(at, cut), np.diff(np.append(cut, len(at))))
-    later = at > low
-    return doc[ctx[later]], place[ctx[later]] + off[later]
+    return ctx, off, at > low
+
+
+def gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[f : f + n] of each f and n, one after the other."""
+    return data[np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)]
+
+
+def equal_rows(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a and from b are the same."""
+    out = np.ones(len(a), bool)
+    for i in range(0, len(a), 8192):
+        k = slice(i, i + 8192)
+        eq = gather(data, a[k], size[k]) == gather(data, b[k], size[k])
+        out[k] = np.logical_and.reduceat(eq, np.cumsum(size[k]) - size[k])
+    return out
+
+
+def repeats_in(h: np.ndarray, g: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, data: np.ndarray, first: np.ndarray, pack: int = PACK_BYTES):
+    """Repeats (doc, start, end) among contexts that meet by h, and the numbers of the earliest of each different context.
+
+    data[first : first + size] are the bytes of a context that starts at `start` in its document.
+    """
+    o = np.lexsort((start, doc, g, h))
+    h, g, doc, start, size, first = h[o], g[o], doc[o], start[o].astype(np.int64), size[o].astype(np.int64), first[o]
+    none = np.zeros(0, np.int64)
+    if not len(o):
+        return (none, none, none), none
+    new = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (size[1:] != size[:-1]))
+    like = np.flatnonzero(~new)
+    new[like] = ~equal_rows(data, first[like], first[like - 1], size[like])
+    lead = np.flatnonzero(new)
+    of = np.cumsum(new) - 1  # the context of each place
+    met = np.append(np.flatnonzero(np.append(True, h[lead][1:] != h[lead][:-1])), len(lead))
+    total = np.append(0, np.cumsum(size[lead] + 1))
+    places = np.append(lead, len(h))
+    found, i = [], 0
+    while i < len(met) - 1:  # packs of whole hashes
+        j = max(i + 1, int(np.searchsorted(total[met], total[met[i]] + pack, side="right")) - 1)
+        k = lead[met[i] : met[j]]
+        n = size[k]
+        x = np.zeros(int((n + 1).sum()), np.uint8)
+        to = np.cumsum(n + 1) - n - 1
+        x[np.arange(n.sum()) + np.repeat(to - np.cumsum(n) + n, n)] = gather(data, first[k], n) + 1  # UTF-8 has no byte 255
+        ctx, off, again = repeated(x, n, doc[k], start[k])
+        found.append(merged(doc[k][ctx[again]], (start[k][ctx] + off)[again], (start[k][ctx] + off)[again] + LENGTH))
+        # a window is repeated at every later place of its context
+        low, high = np.full(len(k), 1 << 40), np.zeros(len(k), np.int64)
+        np.minimum.at(low, ctx, off)
+        np.maximum.at(high, ctx, off + LENGTH)
+        p = np.arange(places[met[i]], places[met[j]])
+        p = p[~new[p]]
+        own = lead[of[p]]
+        p = p[(doc[p] != doc[own]) | (start[p] != start[own])]  # not one place that was met twice
+        c = of[p] - met[i]
+        found.append(merged(doc[p], start[p] + low[c], start[p] + high[c]))
+        i = j
+    return merged(*(np.concatenate(c) for c in zip(*found))), o[lead]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Texts, their doc_ids and where they begin: long texts in pieces that overlap by a window less a byte."""
+    for b in small_batches(batches, most):
+        ids = column(b, "doc_id").to_numpy().astype(np.int64)
+        texts = text_bytes(b)
+        if len(texts) == 1 and len(texts[0]) > most:
+            for at in range(0, len(texts[0]) - LENGTH + 1, most):
+                yield [texts[0][at : at + most + LENGTH - 1]], ids, np.array([at])
+        else:
+            yield texts, ids, np.zeros(len(texts), np.int64)
 
 
 def hot_anchors(docs: DataFrame, n_anchors: int) -> np.ndarray:
     """Anchor hashes of more than HOT_ROWS different contexts, as 1 / HOT_SHARE of the documents have it."""
-    most = max(HOT_ROWS, n_anchors // HOT_MOST)
+    most, bits, piece = max(HOT_ROWS, n_anchors // HOT_MOST), HASH_BITS, PIECE
     if n_anchors <= most:
         return np.zeros(0, np.uint64)
 
     def run(batches):
-        for b in small_batches(batches, 4 << 20):
-            a = anchors_of(text_bytes(b), column(b, "doc_id").to_numpy())
+        for texts, ids, base in pieces(batches, piece):
+            a = anchors_of(texts, ids, base, bits=bits)[0]
             u, n = np.unique(np.unique(np.stack([a.h, a.g], 1), axis=0)[:, 0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["h", "n"])
 
@@ -284,118 +354,134 @@ def hot_anchors(docs: DataFrame, n_anchors: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in got], np.int64).view(np.uint64))
 
 
-def _find(docs: DataFrame, keys: np.ndarray, hot_b) -> DataFrame:
-    """kind 1: repeats (doc_id, start, end); kind 2: contexts to be compared as bytes (doc_id, start, end, h)."""
-    names, parts = ["bucket", "repeats", "anchors"], len(keys)
+def _bytes(*cols: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(c, np.int64).tobytes() for c in cols)
+
+
+def _find(docs: DataFrame, keys: np.ndarray, buckets: int, hot_b) -> DataFrame:
+    """kind 1: repeats (doc_id, start, end); kind 2: contexts that meet others of their hash elsewhere (doc_id, start, end, h)."""
+    names, parts, bits, flush, pack, piece = ["key", "bucket", "repeats", "anchors"], len(keys), HASH_BITS, FLUSH_BYTES, PACK_BYTES, PIECE
 
-    def deal(kept: list[Anchors]) -> Iterator[pa.RecordBatch]:
-        first, again = split(Anchors.join(kept))
-        start = again.pos.astype(np.int64) - again.before
-        d, s, e = merged(again.doc, start, again.pos.astype(np.int64) + again.after)
-        bucket = (first.h >> np.uint64(20)) % np.uint64(parts)
+    def deal(kept: list[tuple[Anchors, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        shift = np.cumsum([0, *(len(x) for _, _, x in kept)])
+        a = Anchors.join([k[0] for k in kept])
+        at = np.concatenate([k[1] + n for k, n in zip(kept, shift)])
+        data = np.concatenate([k[2] for k in kept])
+        o = np.argsort(a.h, kind="stable")
+        a, at = a.take(o), at[o]
+        twice = np.zeros(len(a), bool)
+        twice[1:] = a.h[1:] == a.h[:-1]
+        twice[:-1] |= twice[1:]
+        m, before = a.take(twice), a.before[twice].astype(np.int64)
+        gone, lead = repeats_in(m.h, m.g, m.doc, m.pos.astype(np.int64) - before, before + m.after, data, at[twice] - before, pack)
+        first = Anchors.join([a.take(~twice), m.take(lead)])
+        bucket = (first.h >> np.uint64(20 if bits == 64 else 0)) % np.uint64(buckets)
         o = np.lexsort((first.pos, first.doc, bucket))
-        first, bucket = first.take(o), bucket[o]
-        cut = np.searchsorted(bucket, np.arange(parts + 1).astype(np.uint64))
-        buckets = [k for k in range(parts) if cut[k + 1] > cut[k]]
-        packs = [first.take(slice(cut[k], cut[k + 1])).pack() for k in buckets]
-        own = int(d[0]) % parts if len(d) else 0
-        gone = np.ascontiguousarray(d, np.int64).tobytes() + np.ascontiguousarray(s, np.int64).tobytes() + np.ascontiguousarray(e, np.int64).tobytes()
+        first, bucket = first.take(o), bucket[o].astype(np.int64)
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+        packs = [first.take(slice(i, j)).pack() for i, j in zip(cut, np.append(cut[1:], len(bucket)))]
+        to = np.append(keys[bucket[cut] % parts], keys[int(gone[0][0]) % parts if len(gone[0]) else 0])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[[*buckets, own]]), pa.array([*[None] * len(buckets), gone], pa.binary()), pa.array([*packs, None], pa.binary())], names=names
+            [pa.array(to), pa.array(np.append(bucket[cut], -1)), pa.array([*[None] * len(packs), _bytes(*gone)], pa.binary()), pa.array([*packs, None], pa.binary())], names=names
         )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[Anchors] = []
-        for b in small_batches(batches, 2 << 20):
-            kept.append(anchors_of(text_bytes(b), column(b, "doc_id").to_numpy().astype(np.int64), hot_b.value))
-            if sum(map(len, kept)) > FLUSH_ANCHORS:
+        kept, size = [], 0
+        for texts, ids, base in pieces(batches, piece):
+            kept.append(anchors_of(texts, ids, base, hot_b.value, bits))
+            size += len(kept[-1][2])
+            if size > flush:
                 yield from deal(kept)
-                kept = []
+                kept, size = [], 0
         if kept:
             yield from deal(kept)
 
+    def rows(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int8)), *(pa.array(np.ascontiguousarray(c, np.int64)) for c in cols)], names=["kind", "doc_id", "start", "end", "h"])
+
+    def ask(packs: list[bytes]) -> pa.RecordBatch:
+        """Anchors whose hash came from several flushes; those of one are decided there."""
+        flushes = [Anchors.unpack(x) for x in packs]
+        source = np.repeat(np.arange(len(flushes)), [len(f) for f in flushes])
+        a = Anchors.join(flushes)
+        o = np.argsort(a.h, kind="stable")
+        h, source = a.h[o], source[o]
+        cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        several = np.repeat(np.minimum.reduceat(source, cut) < np.maximum.reduceat(source, cut), np.diff(np.append(cut, len(h))))
+        a = a.take(o[several])
+        start = a.pos.astype(np.int64) - a.before
+        return rows(2, a.doc, start, start + a.before + a.after, a.h.view(np.int64))
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gone, packs = [], []
+        gone, packs, at = [], [], -1
         for b in batches:
-            gone += [x for x in column(b, "repeats").to_pylist() if x]
-            packs += [Anchors.unpack(x) for x in column(b, "anchors").to_pylist() if x]
-        flat = [np.frombuffer(x, np.int64).reshape(3, -1) for x in gone]
-        a = Anchors.join(packs)
-        del packs
-        o = np.argsort(a.h)
-        h = a.h[o]
-        twice = np.zeros(len(h), bool)
-        twice[1:] = h[1:] == h[:-1]
-        twice[:-1] |= twice[1:]
-        first, again = split(a.take(o[twice]))
-        d, s, e = (np.concatenate([*(f[i] for f in flat), c]) for i, c in enumerate((again.doc, again.pos.astype(np.int64) - again.before, again.pos.astype(np.int64) + again.after)))
-        d, s, e = merged(d, s, e)
-        n = np.zeros(0, np.int64) if not len(first) else np.repeat(*(lambda c: (c, c))(np.diff(np.append(np.flatnonzero(np.append(True, first.h[1:] != first.h[:-1])), len(first)))))
-        ask = first.take(n > 1)
-        kind = np.repeat([1, 2], [len(d), len(ask)]).astype(np.int8)
-        cols = [kind, np.concatenate([d, ask.doc]), np.concatenate([s, ask.pos.astype(np.int64) - ask.before]), np.concatenate([e, ask.pos.astype(np.int64) + ask.after]), np.concatenate([np.zeros(len(d), np.int64), ask.h.view(np.int64)])]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "doc_id", "start", "end", "h"])
-
-    dealt = docs.mapInArrow(scan, "bucket long, repeats binary, anchors binary").repartition(parts, "bucket")
+            for bucket, r, x in zip(column(b, "bucket").to_pylist(), column(b, "repeats").to_pylist(), column(b, "anchors").to_pylist()):
+                if bucket != at and packs:
+                    yield ask(packs)
+                    packs = []
+                at = bucket
+                if x is not None:
+                    packs.append(x)
+                elif r:
+                    gone.append(np.frombuffer(r, np.int64).reshape(3, -1))
+        if packs:
+            yield ask(packs)
+        if gone:
+            d, s, e = merged(*np.concatenate(gone, 1))
+            yield rows(1, d, s, e, np.zeros(len(d), np.int64))
+
+    dealt = docs.mapInArrow(scan, "key long, bucket long, repeats binary, anchors binary").repartition(parts, "key").sortWithinPartitions("bucket")
     return written(dealt.mapInArrow(meet, "kind byte, doc_id long, start long, end long, h long"), "repeats-found")
 
 
-def _compare(docs: DataFrame, found: DataFrame, keys: np.ndarray) -> DataFrame:
+def _compare(docs: DataFrame, found: DataFrame, keys: np.ndarray, buckets: int) -> DataFrame:
     """Repeats (doc_id, start, end) among the contexts asked for, by the transform."""
-    parts = len(keys)
+    parts, at_once, pack, bits = len(keys), ASKED, PACK_BYTES, HASH_BITS
     asked = found.where("kind = 2").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "h")).alias("asked")).withColumnRenamed("doc_id", "_d")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             z = column(b, "asked")
             flat, n = z.flatten(), np.asarray(z.value_lengths())
-            start, end, h = (flat.field(k).to_numpy() for k in range(3))
-            doc = np.repeat(column(b, "doc_id").to_numpy(), n)
-            which = np.repeat(np.arange(b.num_rows), n)
+            starts, ends, hs = (flat.field(k).to_numpy() for k in range(3))
+            docs_, which = np.repeat(column(b, "doc_id").to_numpy(), n), np.repeat(np.arange(b.num_rows), n)
             texts = text_bytes(b)
-            bucket = (h.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)
-            o = np.argsort(bucket, kind="stable")
-            edges = np.append(np.flatnonzero(np.append(True, np.diff(bucket[o].astype(np.int64)) != 0)), len(o)) if len(o) else [0]
-            rows = []
-            for i, j in zip(edges[:-1], edges[1:]):
-                k = o[i:j]
-                data = [texts[w][s:e] for w, s, e in zip(which[k].tolist(), start[k].tolist(), end[k].tolist())]
-                head = b"".join(np.ascontiguousarray(c, np.int64).tobytes() for c in (h[k], doc[k], start[k], np.array([len(t) for t in data])))
-                rows.append((int(keys[int(bucket[k[0]])]), head, b"".join(data)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "head", "data"])
+            for i in range(0, len(hs), at_once):
+                part = slice(i, i + at_once)
+                start, end, h, doc, w = starts[part], ends[part], hs[part], docs_[part], which[part]
+                bucket = ((h.view(np.uint64) >> np.uint64(20 if bits == 64 else 0)) % np.uint64(buckets)).astype(np.int64)
+                o = np.argsort(bucket, kind="stable")
+                edge = np.flatnonzero(np.append(True, np.diff(bucket[o]) != 0))
+                heads, datas = [], []
+                for k in np.split(o, edge[1:]):
+                    data = [texts[t][s:e] for t, s, e in zip(w[k].tolist(), start[k].tolist(), end[k].tolist())]
+                    g = np.array([xxhash.xxh64_intdigest(t) & ((1 << min(bits, 63)) - 1) for t in data], np.int64)
+                    heads.append(_bytes(h[k], g, doc[k], start[k], np.array([len(t) for t in data])))
+                    datas.append(b"".join(data))
+                bucket = bucket[o][edge]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[bucket % parts]), pa.array(bucket), pa.array(heads, pa.binary()), pa.array(datas, pa.binary())], names=["key", "bucket", "head", "data"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, datas = [], []
+        def one() -> pa.RecordBatch:
+            h, g, doc, start, size = np.concatenate([np.frombuffer(x, np.int64).reshape(5, -1) for x in heads], 1)
+            d, s, e = repeats_in(h, g, doc, start, size, np.frombuffer(b"".join(datas), np.uint8), np.cumsum(size) - size, pack)[0]
+            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], names=["doc_id", "start", "end"])
+
+        heads, datas, at = [], [], -1
         for b in batches:
-            heads += [np.frombuffer(x, np.int64).reshape(4, -1) for x in column(b, "head").to_pylist()]
-            datas += column(b, "data").to_pylist()
-        if not heads:
-            return
-        h, doc, place, size = np.concatenate(heads, 1)
-        data = np.frombuffer(b"".join(datas), np.uint8)
-        del datas, heads
-        first = np.cumsum(size) - size
-        o = np.lexsort((place, doc, h))
-        h, doc, place, size, first = h[o], doc[o], place[o], size[o], first[o]
-        group = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
-        total = np.append(0, np.cumsum(size + 1))
-        i = 0
-        while i < len(group) - 1:  # packs of whole groups
-            j = max(i + 1, int(np.searchsorted(total[group], total[group[i]] + PACK_BYTES, side="right")) - 1)
-            k = slice(group[i], group[j])
-            n = size[k]
-            to = np.cumsum(n + 1) - n - 1
-            x = np.zeros(int((n + 1).sum()), np.uint8)
-            r = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            x[np.repeat(to, n) + r] = data[np.repeat(first[k], n) + r] + 1  # UTF-8 has no byte 255
-            d, s = repeated(x, n, doc[k], place[k])
-            d, s, e = merged(d, s, s + LENGTH)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], names=["doc_id", "start", "end"])
-            i = j
+            for bucket, head, data in zip(column(b, "bucket").to_pylist(), column(b, "head").to_pylist(), column(b, "data").to_pylist()):
+                if bucket != at and heads:
+                    yield one()
+                    heads, datas = [], []
+                at = bucket
+                heads.append(head)
+                datas.append(data)
+        if heads:
+            yield one()
 
     met = docs.join(asked.hint("shuffle_hash"), F.col("doc_id") == F.col("_d")).select("doc_id", "text", "asked")
-    return met.mapInArrow(cut, "bucket long, head binary, data binary").repartition(parts, "bucket").mapInArrow(decide, "doc_id long, start long, end long")
+    dealt = met.mapInArrow(cut, "key long, bucket long, head binary, data binary").repartition(parts, "key").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(decide, "doc_id long, start long, end long")
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
@@ -404,10 +490,10 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     n = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_anchors = 2 * n // (SPAN + 1)
-    parts = max(shuffle_parts(spark), n_anchors // 400_000 + 1)
-    keys = partition_keys(spark, parts)
-    found = _find(docs, keys, spark.sparkContext.broadcast(hot_anchors(docs, n_anchors)))
-    return found.where("kind = 1").select("doc_id", "start", "end").union(_compare(docs, found, keys))
+    buckets = max(shuffle_parts(spark), n_anchors // BUCKET_ANCHORS + 1)
+    keys = partition_keys(spark, min(buckets, MOST_PARTS))
+    found = _find(docs, keys, buckets, spark.sparkContext.broadcast(hot_anchors(docs, n_anchors)))
+    return found.where("kind = 1").select("doc_id", "start", "end").union(_compare(docs, found, keys, buckets))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:

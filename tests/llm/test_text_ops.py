@@ -119,8 +119,9 @@ def brute_repeats(docs):
     return out
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_repeats_against_brute_force(spark, tables, monkeypatch, hot):
+@pytest.mark.parametrize("how", ["", "hot", "collisions", "flushes", "one flush"])
+def test_repeats_against_brute_force(spark, tables, monkeypatch, how):
+    """Also with very many anchors hot, with hashes of 3 bits, so that contexts of all kinds collide, and with all texts decided in one task or hardly any."""
     rnd = random.Random(3)
     shared, edge = prose(rnd, 60), prose(rnd, 200)
     docs = []
@@ -130,16 +131,53 @@ def test_repeats_against_brute_force(spark, tables, monkeypatch, hot):
         t = {0: t, 1: t + shared + prose(rnd, 5), 2: shared[rnd.randrange(50) :] + t, 3: edge[: rnd.randrange(90, 300)] + t + edge[-120:], 4: "De " * rnd.randrange(20, 90) + t, 5: docs[-5][1] if len(docs) > 5 else t}[k]
         docs.append((i, t))
     docs += [(60, None), (61, ""), (62, shared[:99]), (63, shared[:100]), (64, "x" * 5000), (65, docs[7][1][:150] + "~" + docs[7][1][150:])]
-    if hot:
+    if how == "hot":
         monkeypatch.setattr(repeats, "HOT_ROWS", 8)
         monkeypatch.setattr(repeats, "HOT_SHARE", 1)
-    monkeypatch.setattr(repeats, "PACK_BYTES", 3000)
+    if how == "collisions":
+        monkeypatch.setattr(repeats, "HASH_BITS", 3)
+    if how in ("collisions", "flushes"):
+        monkeypatch.setattr(repeats, "FLUSH_BYTES", 2000)
+        monkeypatch.setattr(repeats, "ASKED", 7)
+    if how != "one flush":
+        monkeypatch.setattr(repeats, "PACK_BYTES", 3000)
+    monkeypatch.setattr(repeats, "BUCKET_ANCHORS", 20)
+    monkeypatch.setattr(repeats, "MOST_PARTS", 3 if how == "flushes" else 20_000)
     r = repeats.op5_repeats(spark, tables(documents=docs)).toPandas().set_index("doc_id")
     want = brute_repeats(docs)
     assert {i: tuple(x) for i, *x in r[["n_bytes", "n_removed", "n_spans", "kept_sha256"]].itertuples()} == want
     assert sum(w[1] for w in want.values()) > 1000
 
 
+def met_in_one_task(docs):
+    """Repeats among the texts, as a task decides them."""
+    a, at, x = repeats.anchors_of([t.encode() for _, t in docs], np.array([i for i, _ in docs]), np.zeros(len(docs), np.int64))
+    before = a.before.astype(np.int64)
+    d, s, e = repeats.repeats_in(a.h, a.g, a.doc, a.pos - before, before + a.after, x, at - before)[0]
+    return {(int(i), k) for i, b, n in zip(d, s, e) for k in range(b, n)}
+
+
+def test_the_transform_decides_all_repeats(monkeypatch):
+    """Without intervals from the transform nothing is a repeat, whatever hashes say; with them all of brute force is."""
+    rnd = random.Random(4)
+    docs = [(i, prose(rnd, 60)) for i in range(20)]
+    docs += [(20 + i, docs[i][1] if i % 2 else docs[i][1][: -40] + prose(rnd, 30)) for i in range(20)]
+    got, want = met_in_one_task(docs), brute_repeats(docs)
+    assert {i: sum(d == i for d, _ in got) for i, _ in docs} == {i: w[1] for i, w in want.items()} and len(got) > 3000
+    monkeypatch.setattr(repeats, "common_prefixes", lambda x, rows: np.zeros(len(x), np.int16))
+    monkeypatch.setattr(repeats, "repeated", lambda *a, f=repeats.repeated: tuple(c[f(*a)[2]] for c in f(*a)))
+    assert met_in_one_task(docs) == set()
+
+
+def test_repeats_in_a_long_text(spark, tables, monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 5000)
+    rnd = random.Random(6)
+    part = prose(rnd, 150)
+    docs = [(1, prose(rnd, 3000) + part + prose(rnd, 2000) + part), (2, prose(rnd, 10) + part * 2 + "é" * 6000), (3, part)]
+    r = repeats.op5_repeats(spark, tables(documents=docs)).toPandas().set_index("doc_id")
+    assert {i: tuple(x) for i, *x in r[["n_bytes", "n_removed", "n_spans", "kept_sha256"]].itertuples()} == brute_repeats(docs)
+
+
 def test_common_prefixes_against_sorting():
     rnd = random.Random(5)
     x = np.frombuffer(("".join(rnd.choice("abc") for _ in range(700)) + "abcabcabd" * 40).encode() + b"\0", np.uint8)
