@@ -3,8 +3,9 @@
 Base spans (kinds assign, access, hex) come from fixed patterns. The method adds spans of kind markov: tokens of 16 or more characters
 of the base64 alphabet whose mean log-likelihood ratio per character, random strings against ordinary identifiers, is past THRESHOLD
 and that touch no base span. Both models are trained from labelled samples: random strings are values that the patterns label as
-secrets in a bounded sample of documents, and strings drawn over the usual alphabets; identifiers are the other words of that sample,
-alone and joined the ways code joins them. The sample is of the SAMPLE_DOCS smallest hashes of doc_id plus as many with a pattern hit (found in a share of 64 times as many documents).
+secrets, and strings drawn over the usual alphabets; identifiers are all other words, alone and joined the ways code joins them, and
+numbers. Tasks count character pairs over the whole texts of about SAMPLE_DOCS documents, those of a share of the hashes of doc_id, and
+values over those of HIT_SHARE times that share; only counts leave the tasks.
 
 Positions are code points. Defined results: null is the empty text; repeated rows get a row each; an empty table gives no rows.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._base import column, hash_sample, small_batches, table
+from lodestar.llm._base import column, small_batches, table
 
 KINDS = ("assign", "access", "hex", "markov")
 #: The patterns of the base kinds.
@@ -30,15 +31,27 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Documents whose words train the model of identifiers, about so many; values are counted in HIT_SHARE times as many.
 SAMPLE_DOCS = 1000
-#: Longer texts are scanned like all others, but not learned from.
-SAMPLE_CHARS = 20_000
-THRESHOLD = 0.7
+HIT_SHARE = 16
+PRIOR = 0.5
+#: Mean log-likelihood ratio (natural log) of a character above which a token is a secret: 0 is as likely random as not.
+THRESHOLD = 0.2
 _CODE = np.zeros(256, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(1, len(ALPHABET) + 1)
 SIZE = len(ALPHABET) + 1
 
 
+def values(text: str) -> list[str]:
+    """The values that the patterns label as secrets."""
+    out = []
+    if any(k in text.lower() for k in KEYWORDS):
+        out += [m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    if "AKIA" in text:
+        out += [m[0] for m in ACCESS.finditer(text) if len(m[0]) >= 16]
+    return out + HEX.findall(text)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of the base patterns, by start, then kind."""
     out = []
@@ -60,18 +73,25 @@ def codes(s: str) -> np.ndarray:
     return _CODE[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)]
 
 
-def markov(samples: list[str], prior: float = 0.5) -> np.ndarray:
-    """log probabilities of a character after the one before; row 0 is the start."""
-    n = np.full((SIZE, SIZE), prior)
-    for s in samples:
-        c = np.concatenate([[0], codes(s)])
-        np.add.at(n, (c[:-1], c[1:]), 1.0)
-    return np.log(n / n.sum(1, keepdims=True))
+def pair_counts(samples: list[str]) -> np.ndarray:
+    """How often a character follows the one before; row 0 is the start."""
+    n = np.zeros((SIZE, SIZE), np.int64)
+    for k in range(0, len(samples), 10_000):
+        c = np.concatenate([np.append(0, codes(t)) for t in samples[k : k + 10_000]])
+        a, b = c[:-1], c[1:]
+        starts = np.cumsum([len(t) + 1 for t in samples[k : k + 10_000]])[:-1] - 1
+        keep = np.ones(len(a), bool)
+        keep[starts] = False  # from the end of one to the start of the next
+        n += np.bincount(a[keep] * SIZE + b[keep], minlength=SIZE * SIZE).reshape(SIZE, SIZE)
+    return n
 
 
 class Models:
-    def __init__(self, random: list[str], identifiers: list[str]):
-        self.ratio = markov(random) - markov(identifiers)
+    """Log probabilities of a character after the one before, random strings against identifiers."""
+
+    def __init__(self, random: np.ndarray, identifiers: np.ndarray):
+        log = lambda n: np.log((n + PRIOR) / (n + PRIOR).sum(1, keepdims=True))
+        self.ratio = log(random) - log(identifiers)
 
     def llr(self, s: str) -> float:
         """Mean log-likelihood ratio of a character."""
@@ -86,23 +106,32 @@ def drawn(n: int = 1500, seed: int = 5) -> list[str]:
     return ["".join(rng.choice(list(sets[i % len(sets)]), int(rng.integers(16, 64)))) for i in range(n)]
 
 
+def numbers(n: int, seed: int = 6) -> list[str]:
+    """Numbers are ordinary too."""
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(list("0123456789"), int(rng.integers(6, 24)))) for _ in range(n)]
+
+
+def identifiers(text: str) -> list[str]:
+    """The words of a text outside its base spans, alone and joined as in code: snake, kebab, camel, paths, numbered."""
+    plain, last = [], 0
+    for s, e, _ in [*base_spans(text), (len(text), len(text), 0)]:
+        plain += re.findall(r"[A-Za-z]{3,}", text[last:s])
+        last = max(last, e)
+    joins = []
+    for i in range(0, len(plain) - 1, 3):
+        w, how = plain[i : i + 2 + i % 3], (i // 3) % 5
+        joins.append("_".join(w) if how == 0 else "-".join(w) if how == 1 else "".join(x.title() for x in w) if how == 2 else "/".join(w) if how == 3 else "_".join(w) + str(i % 100))
+    return plain + joins
+
+
 def train(texts: list[str]) -> Models:
-    random, plain = drawn(), []
-    rng = np.random.default_rng(6)
-    for t in texts:
-        spans = base_spans(t)
-        random += [t[s:e].split("=")[-1].strip(" \"'")[-64:] for s, e, _ in spans]
-        last = 0
-        for s, e, _ in [*spans, (len(t), len(t), 0)]:
-            plain += re.findall(r"[A-Za-z]{3,}", t[last:s])[:400]
-            last = max(last, e)
-    plain = plain or ["identifier", "value", "name"]
-    for _ in range(min(4000, len(plain))):  # joined as in code: snake, kebab, camel, paths, numbered
-        w = [plain[i] for i in rng.integers(0, len(plain), int(rng.integers(2, 5)))]
-        how = int(rng.integers(0, 5))
-        plain.append("_".join(w) if how == 0 else "-".join(w) if how == 1 else "".join(x.title() for x in w) if how == 2 else "/".join(w) if how == 3 else "_".join(w) + str(int(rng.integers(0, 100))))
-    numbers = ["".join(rng.choice(list("0123456789"), int(rng.integers(6, 24)))) for _ in range(len(plain) // 8 + 200)]  # numbers are ordinary too
-    return Models(random, plain + numbers)
+    """Models of texts at hand."""
+    return Models(*(pair_counts(x) + sum((pair_counts(get(t)) for t in texts), np.zeros((SIZE, SIZE), np.int64)) for x, get in START))
+
+
+#: What both models know before any text: strings drawn at random, and numbers and a few common names.
+START = ((drawn(), values), (numbers(300) + ["identifier", "value", "name"], identifiers))
 
 
 def spans(models: Models, text: str, threshold: float = THRESHOLD) -> tuple[list, list]:
@@ -117,11 +146,27 @@ def spans(models: Models, text: str, threshold: float = THRESHOLD) -> tuple[list
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Models:
-    n = docs.count()
-    d = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-    hit = d.where(F.col("text").rlike("AKIA[A-Z0-9]{12}|[0-9a-f]{32}|(?i)(password|secret|token|api_?key)[\"']? *[:=]"))
-    texts = [r.text for part in (hash_sample(d, sample, n), hash_sample(hit, sample, n, 64)) for r in part.toLocalIterator()]
-    return train(sorted(texts))
+    """Character pairs counted in tasks: the hash of doc_id picks the documents before any text is looked at."""
+    bits = 1 << 24
+    share = min(bits, -(-bits * sample // max(docs.count(), 1)))
+    wide = min(bits, HIT_SHARE * share)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, SIZE, SIZE), np.int64)
+        for b in small_batches(batches):
+            for t, near in zip(column(b, "text").to_pylist(), column(b, "near").to_pylist()):
+                n[0] += pair_counts(values(t))
+                if near:
+                    n[1] += pair_counts(identifiers(t))
+        k = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.ravel()[k])], names=["pair", "n"])
+
+    some = docs.where(place < wide).where("text is not null").select("text", (place < share).alias("near"))
+    total = np.zeros(2 * SIZE * SIZE, np.int64)
+    for r in some.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 2 * SIZE ** 2 rows at most
+        total[r.pair] = r.n
+    return Models(*(pair_counts(x) + n for (x, _), n in zip(START, total.reshape(2, SIZE, SIZE))))
 
 
 def scan(docs: DataFrame, models: Models) -> DataFrame:
