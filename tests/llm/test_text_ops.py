@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestar.llm import decontaminate, hmm, mixing, pii, quality, repeats, secrets, simhash
 from lodestar.llm.queries import queries
@@ -36,7 +37,7 @@ def test_odd_rows_and_empty_tables(spark, tables, name):
     d = tables(documents=docs, labels=[(i, i % 2, 0) for i in range(40)] + [(41, None, None)], benchmark=[(1, docs[5][1]), (2, None), (3, ""), (4, "Ka"), (4, "Ka")])
     got = queries()[name](spark, d).toPandas()
     assert sorted(got.doc_id) == sorted(i for i, *_ in docs)
-    assert not got.drop(columns=[c for c in ("position",) if c in got]).isna().any().any()
+    assert not got.drop(columns=[c for c in ("position", "position_again") if c in got]).isna().any().any()
     again = queries()[name](spark, d).toPandas()
     assert got.sort_values("doc_id").reset_index(drop=True).round(9).equals(again.sort_values("doc_id").reset_index(drop=True).round(9))
     assert queries()[name](spark, tables()).count() == 0
@@ -446,15 +447,63 @@ def test_mix_totals(spark, tables):
     assert by.target.sum() == pytest.approx(1.5 * r["size"].sum())
 
 
-def test_water_filling_and_schedule():
-    t = mixing.targets({"a": 10, "b": 100, None: 100})
-    assert {x.source: x.target for x in t} == {"a": 20.0, "b": pytest.approx((315 - 20) / 3), None: pytest.approx((315 - 20) * 2 / 3)}
-    assert mixing.targets({}) == [] and mixing.targets({"a": 0})[0].target == 0
+def filled(sizes, weights=mixing.WEIGHTS, budget=1.5, most=2.0):
+    """Targets by water-filling, source by source."""
+    names = sorted((k for k in sizes if k is not None)) + [None] * (None in sizes)
+    w = {k: weights[i % len(weights)] for i, k in enumerate(names)}
+    left, open_, out = budget * sum(sizes.values()), list(names), {}
+    while open_:
+        share = left / sum(w[k] for k in open_)
+        full = [k for k in open_ if share * w[k] > most * sizes[k]]
+        out |= {k: most * sizes[k] if full else share * w[k] for k in full or open_}
+        left -= sum(most * sizes[k] for k in full)
+        open_ = [k for k in open_ if k not in set(full)] if full else []
+    return out
 
 
-def test_inverse_of_the_schedule(spark):
-    from pyspark.sql import functions as F
+@pytest.mark.parametrize("at_once", [10_000, 3])
+def test_targets_of_any_number_of_sources(spark, monkeypatch, at_once):
+    monkeypatch.setattr(mixing, "AT_ONCE", at_once)
+    rnd = random.Random(14)
+    many = {f"s{rnd.random()}": rnd.randrange(0, 9 ** rnd.randrange(1, 9)) for _ in range(3000)}
+    for sizes in ({"a": 10, "b": 100, None: 100}, {"a": 0}, {"a": 0, "b": 5}, {"a": 7}, {"b": 1, "": 1, None: 1}, many, many | {None: 10**8}, dict.fromkeys(many, 50)):
+        rows = [(k is None, k or "", r, n) for k, v in sizes.items() for r, n in (("0", v // 3), ("1", v - v // 3))]
+        got = mixing.with_targets(spark.createDataFrame(rows, "no_source boolean, name string, range string, words long"), mixing.WEIGHTS, mixing.SLOPES, 1.5, 2.0).collect()
+        want = filled(sizes)
+        assert {None if r.no_source else r.name: r.target for r in got} == pytest.approx(want), len(sizes)
+
+
+def test_schedule_by_slices_of_time(spark, tables):
+    """The words that every tenth of the run takes of a source follow its schedule, repeats included."""
+    rnd = random.Random(15)
+    docs = [(i, " ".join(["w"] * rnd.randrange(1, 30)), "abc"[min(2, i % 7)]) for i in range(4000)]
+    d = spark.read.parquet(f"{tables(documents=docs)}/documents.parquet")
+    for most in (2.0, 3.5):
+        rows = mixing.mix(d.withColumn("carried", F.struct("source", "doc_id")), budget=most - 0.4, most=most, carry="carried").collect()
+        for k, name in enumerate("abc"):
+            mine = [r for r in rows if r.carried.source == name]
+            target, slope = mine[0].target, mixing.SLOPES[k]
+            assert abs(sum(r.taken for r in mine) - target) <= 1 and max(len(r.positions) for r in mine) <= math.ceil(most)
+            slices = np.zeros(10)
+            for r in mine:
+                assert len(r.positions) == -(-r.taken // r.size) and r.positions == sorted(r.positions)
+                for j, p in enumerate(r.positions):
+                    slices[min(9, int(p * 10))] += min(r.size, r.taken - j * r.size)
+            ends = [t / 10 + slope * (t / 10 * t / 10 - t / 10) for t in range(11)]
+            assert np.abs(slices - target * np.diff(ends)).max() < 0.01 * target + 30
+
+
+def test_mix_of_rows_without_ids(spark, tables):
+    docs = [(None, "a b c d"), (None, "e f g h i j"), (None, "k"), (7, "x y"), (7, "x y"), (7, "z")]
+    d = tables(documents=docs)
+    rows = spark.read.parquet(f"{d}/documents.parquet").withColumn("size", F.lit("mine")).withColumn("position", F.lit(3))
+    got = mixing.mix_sources(spark, rows, d).toPandas()
+    assert (got.mix_size == got.text.str.split().str.len()).all() and (got.taken <= 2 * got.mix_size).all() and (got["size"] == "mine").all() and (got.position == 3).all()
+    assert not Counter(got.text) - Counter(t for _, t in docs) and abs(got.taken.sum() - 24) <= 1
+    assert got.mix_position.is_monotonic_increasing and all(len(p) == -(-t // s) for p, t, s in zip(got.positions, got.taken, got.mix_size))
 
+
+def test_inverse_of_the_schedule(spark):
     for s in (0.5, 0.0, -0.5, 1.0):
         for u in (0.0, 0.2, 0.9, 1.0):
             t = spark.range(1).select(mixing.invert_demand(F.lit(u), F.lit(s)).alias("t")).first().t
