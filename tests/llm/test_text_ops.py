@@ -59,6 +59,26 @@ def test_quality_learns_and_reads_the_end(spark, tables):
     assert quality.score_texts(net, [a, b])[1] == pytest.approx(quality.score_texts(net, [b])[0], abs=1e-5)  # not the batch it is in
 
 
+def test_quality_score_against_loops():
+    """Every chunk of every text, one by one, in double precision; texts in pieces of any size score the same."""
+    rnd = random.Random(2)
+    texts = [prose(rnd, n).encode() for n in (1, 2, 5, 40, 300)] + [b"", b"x", b"y" * 32, b"z" * 33, "é".encode() * 100]
+    net = quality.train(texts, np.array([0, 1] * 5), steps=20)
+    conv = net.conv.reshape(-1, quality.EMBED, quality.FILTERS)  # byte of the chunk, part of the embedding, filter
+    want = []
+    for t in texts:
+        t += bytes(max(32, -(-len(t) // 8) * 8) - len(t))
+        top = np.full(quality.FILTERS, -np.inf)
+        for at in range(0, len(t) - 31, 8):
+            top = np.maximum(top, sum(net.embed[c].astype(float) @ conv[k] for k, c in enumerate(t[at : at + 32])))
+        h = np.tanh(np.tanh(top + net.conv_b) @ net.w1 + net.b1)
+        want.append(1 / (1 + np.exp(-(h @ net.w2 + net.b2[0]))))
+    assert quality.score_texts(net, texts) == pytest.approx(want, abs=1e-5)
+    for most in (1, 3, 50):
+        assert quality.pooled(net, texts, most=most) == pytest.approx(quality.pooled(net, texts), abs=1e-5)
+        assert quality.pooled(net, texts, True, most)[0] == pytest.approx(quality.pooled(net, texts), abs=1e-5)
+
+
 def test_language_model_against_loops(spark, tables):
     docs = [(i, t) for i, t, _ in odd_documents(2, 40)]
     r = hmm.op4_hmm(spark, tables(documents=docs)).toPandas().drop_duplicates("doc_id").set_index("doc_id")
