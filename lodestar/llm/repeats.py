@@ -117,14 +117,15 @@ class Anchors:
         return Anchors(*(np.concatenate(c) if parts else np.zeros(0, k) for c, k in zip(zip(*(p.cols() for p in parts)) if parts else [()] * 6, Anchors.KINDS)))
 
     def pack(self) -> bytes:
-        return b"".join(np.ascontiguousarray(c, k).tobytes() for c, k in zip(self.cols(), self.KINDS))
+        """All but the hashes of contexts, which only sort what is at hand."""
+        return b"".join(np.ascontiguousarray(c, k).tobytes() for c, k in zip(self.cols(), self.KINDS) if c is not self.g)
 
     @staticmethod
     def unpack(data: bytes) -> Anchors:
-        n, at, out = len(data) // 30, 0, []
-        for k in Anchors.KINDS:
-            size = n * np.dtype(k).itemsize
-            out.append(np.frombuffer(data[at : at + size], k))
+        n, at, out = len(data) // 22, 0, []
+        for i, k in enumerate(Anchors.KINDS):
+            size = n * np.dtype(k).itemsize * (i != 1)
+            out.append(np.frombuffer(data[at : at + size], k) if size or i != 1 else np.zeros(n, k))
             at += size
         return Anchors(*out)
 
@@ -440,6 +441,7 @@ def _compare(docs: DataFrame, found: DataFrame, keys: np.ndarray, buckets: int)
     asked = found.where("kind = 2").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "h")).alias("asked")).withColumnRenamed("doc_id", "_d")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = pa.Codec("zstd", 1)
         for b in small_batches(batches):
             z = column(b, "asked")
             flat, n = z.flatten(), np.asarray(z.value_lengths())
@@ -457,16 +459,19 @@ def _compare(docs: DataFrame, found: DataFrame, keys: np.ndarray, buckets: int)
                     data = [texts[t][s:e] for t, s, e in zip(w[k].tolist(), start[k].tolist(), end[k].tolist())]
                     g = np.array([xxhash.xxh64_intdigest(t) & ((1 << min(bits, 63)) - 1) for t in data], np.int64)
                     heads.append(_bytes(h[k], g, doc[k], start[k], np.array([len(t) for t in data])))
-                    datas.append(b"".join(data))
+                    datas.append(zip_.compress(b"".join(data), asbytes=True))
                 bucket = bucket[o][edge]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[bucket % parts]), pa.array(bucket), pa.array(heads, pa.binary()), pa.array(datas, pa.binary())], names=["key", "bucket", "head", "data"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one() -> pa.RecordBatch:
-            h, g, doc, start, size = np.concatenate([np.frombuffer(x, np.int64).reshape(5, -1) for x in heads], 1)
-            d, s, e = repeats_in(h, g, doc, start, size, np.frombuffer(b"".join(datas), np.uint8), np.cumsum(size) - size, pack)[0]
+            heads_ = [np.frombuffer(x, np.int64).reshape(5, -1) for x in heads]
+            h, g, doc, start, size = np.concatenate(heads_, 1)
+            data = b"".join(zip_.decompress(x, int(n[4].sum()), asbytes=True) for x, n in zip(datas, heads_))
+            d, s, e = repeats_in(h, g, doc, start, size, np.frombuffer(data, np.uint8), np.cumsum(size) - size, pack)[0]
             return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], names=["doc_id", "start", "end"])
 
+        zip_ = pa.Codec("zstd")
         heads, datas, at = [], [], -1
         for b in batches:
             for bucket, head, data in zip(column(b, "bucket").to_pylist(), column(b, "head").to_pylist(), column(b, "data").to_pylist()):
