@@ -29,12 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names; a folder of our own only where that is unset (tests)."""
+    """A fresh path in the folder that spark.checkpoint.dir names; a folder of our own only where that is unset and all runs here (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _OWN:
             _OWN.append(tempfile.TemporaryDirectory(prefix="lodestar-"))
         root = f"file://{_OWN[0].name}"
@@ -108,10 +110,10 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def small_batches(batches, most_bytes: int = 8 << 20, most_rows: int = 4096):
+def small_batches(batches, most_bytes: int = 8 << 20, most_rows: int = 4096, name: str = "text"):
     """Slices of the batches whose texts hold at most most_bytes (or one row)."""
     for batch in batches:
-        i = batch.schema.get_field_index("text")
+        i = batch.schema.get_field_index(name)
         sizes = np.diff(_offsets(batch.column(i)))
         start, total = 0, 0
         for k, n in enumerate(sizes):

@@ -107,6 +107,51 @@ def test_forward_sums_all_paths():
         assert got == pytest.approx(math.log10(total))
 
 
+def test_long_texts_are_not_cut(monkeypatch):
+    """Blocks of 7 tokens give the counts and the probability of the whole text."""
+    rng = np.random.default_rng(2)
+    m = hmm.Model(rng.dirichlet(np.ones(hmm.STATES)), rng.dirichlet(np.ones(hmm.STATES), hmm.STATES), rng.dirichlet(np.ones(50), hmm.STATES).T)
+    seqs = [rng.integers(0, 50, n).astype(np.uint16) for n in (100, 7, 8, 1, 350, 49, 50)]
+
+    def counts():
+        c = hmm.Counts(50)
+        for b in hmm.blocks(m, seqs):
+            c.add(m, b)
+        return c, hmm.forward(m, seqs)
+
+    whole, p = counts()
+    monkeypatch.setattr(hmm, "SEGMENT", 7)
+    monkeypatch.setattr(hmm, "AT_ONCE", 200)
+    cut, q = counts()
+    assert q == pytest.approx(p) and whole.step.sum() == pytest.approx(sum(len(s) - 1 for s in seqs), rel=1e-4)
+    for x in ("start", "step", "emit"):
+        assert getattr(cut, x) == pytest.approx(getattr(whole, x), rel=1e-3, abs=1e-4), x
+
+
+def test_language_model_score_column(spark, tables):
+    """The query's score against a forward recursion in plain loops with the fitted model."""
+    docs = [(i, t) for i, t, *_ in odd_documents(3, 30) if len(t or "") < 5000]
+    d = tables(documents=docs)
+    got = {r.doc_id: r.score for r in hmm.op4_hmm(spark, d).collect()}
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    f = hmm.fit(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", (~held).alias("train")))
+    count = {bytes(r.w): r.n for r in f.counts.collect()}
+    f.voc.ready()
+    for i, t in docs:
+        words = WORDS.findall((t or "").encode().translate(LOW))
+        log = 0.0
+        a = f.model.start
+        for k, w in enumerate([*words, None]):
+            j = f.voc.index.get(w, -1) if w is not None else f.voc.end
+            s = j if w is None or 0 <= j < hmm.SYMBOL_WORDS else hmm.SYMBOL_WORDS + hmm.word_class(w)
+            if w is not None and s >= hmm.SYMBOL_WORDS:
+                log += math.log10((count.get(w, 0) + 0.5) / f.voc.class_total()[hmm.word_class(w)])
+            a = (a if k == 0 else a @ f.model.step) * f.model.emit[s]
+            log += math.log10(a.sum())
+            a = a / a.sum()
+        assert got[i] == pytest.approx(log, rel=1e-6, abs=1e-6), i
+
+
 def test_baum_welch_raises_likelihood():
     rng = np.random.default_rng(1)
     voc = hmm.Vocabulary([b"a", b"b", b"c"], np.array([30, 20, 10]), 80, 4, 20, np.zeros(hmm.CLASSES), np.zeros(hmm.CLASSES)).ready()
@@ -116,8 +161,8 @@ def test_baum_welch_raises_likelihood():
     m, last = hmm.Model(np.full(hmm.STATES, 1 / hmm.STATES), np.full((hmm.STATES, hmm.STATES), 1 / hmm.STATES), emit / emit.sum(0)), -1e9
     for _ in range(4):
         c = hmm.Counts(len(prior))
-        for block in hmm.segments(seqs):
-            c.add(m, *block)
+        for block in hmm.blocks(m, seqs):
+            c.add(m, block)
         assert c.emit.sum() == pytest.approx(sum(map(len, seqs)), rel=1e-3) and c.start.sum() == pytest.approx(len(seqs), rel=1e-3)
         ll = hmm.forward(m, seqs).sum()
         assert ll > last
