@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +108,19 @@ def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b if b is not None else b"" for b in col.to_pylist()]
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """The text cut at white space into pieces of about `most` bytes."""
+    at = 0
+    while at < len(text):
+        m = _SPACE.search(text, min(at + most, len(text)))
+        end = m.end() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._base import column, components, most_frequent, shuffle_parts, small_batches, table, text_bytes, written
+from lodestar.llm._base import column, components, most_frequent, pieces, shuffle_parts, small_batches, table, text_bytes, written
 
 SHINGLE = 3
 SEED = 42
@@ -35,21 +35,25 @@ DISTANCE = 3
 HOT = 20_000
 #: Most values a partition, on average, whose counts are told to all tasks; others count as the mean.
 KNOWN_VALUES = 20_000
+#: Hot values that are told to all tasks, at most: blocks have HOT rows up to some 10^10 fingerprints.
+HOT_VALUES = 2_000_000
 HOT_COPIES, HOT_MOST = 1_000, 1_000_000
 
 
-def fingerprint(text: bytes) -> int:
-    w = text.lower().split()
-    if not w:
-        return 0
-    h = xxhash.xxh64_intdigest
-    n = len(w) - SHINGLE + 1
-    got = [h(b" ".join(s), SEED) for s in zip(w, w[1:], w[2:])] if n > 0 else [h(b" ".join(w), SEED)]
-    a = np.array(got, np.uint64)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(a), 1 << 15):
-        ones += np.unpackbits(a[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(a), bitorder="little").view(np.uint64)[0])
+def fingerprint(text: bytes, piece: int = 1 << 20) -> int:
+    """The majority of each bit over all shingles; long texts go through in pieces."""
+    h, ones, total, held = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
+    for part in pieces(text, piece):
+        w = held + part.lower().split()
+        got = [h(b" ".join(s), SEED) for s in zip(*(w[k:] for k in range(SHINGLE)))]
+        held = w[1 - SHINGLE :]
+        a = np.array(got, np.uint64)
+        for k in range(0, len(a), 1 << 15):
+            ones += np.unpackbits(a[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        total += len(a)
+    if not total:
+        return h(b" ".join(held), SEED) if held else 0
+    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -127,7 +131,7 @@ def flips(width: int, t: int) -> list[np.ndarray]:
 class Plan:
     """Partitions, the known value counts, and what they say of a fingerprint's thresholds."""
 
-    def __init__(self, groups: list[np.ndarray], known: list[tuple[np.ndarray, np.ndarray]], mean: list[float], hot: dict[int, int]):
+    def __init__(self, groups: list[np.ndarray], known: list[tuple[np.ndarray, np.ndarray]], mean: list[float], hot: tuple[np.ndarray, np.ndarray]):
         self.groups, self.known, self.mean, self.hot = groups, known, mean, hot
         self.budget = DISTANCE - len(groups) + 1
 
@@ -192,14 +196,14 @@ class Plan:
                     kinds.append(np.full(int(sel.sum()), 2))
         key, f, kind = np.concatenate(keys), np.concatenate(fps), np.concatenate(kinds)
         block = np.zeros(len(key), np.int64)
-        if self.hot:
-            hot_keys = np.array(sorted(self.hot), np.int64)
+        hot_keys, splits = self.hot
+        if len(hot_keys):
             at = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
             is_hot = hot_keys[at] == key
             ks, fs, kd, bl = [key[~is_hot]], [f[~is_hot]], [kind[~is_hot]], [block[~is_hot]]
             for h in np.unique(key[is_hot]):
                 sel = key == h
-                s = self.hot[int(h)]
+                s = int(splits[np.searchsorted(hot_keys, h)])
                 own = (f[sel].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % s
                 for other in range(s):
                     for bit, number in ((1, other * s + own), (2, own * s + other)):  # found in the column of its block, probes its row
@@ -259,15 +263,16 @@ def make_plan(distinct: DataFrame) -> tuple[int, Plan]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([(np.int64(i) << np.int64(40)) | value_of(fp, g) for i, g in enumerate(groups)]))], names=["key"])
 
     counts = distinct.select("fp").mapInArrow(values, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    known = most_frequent(written(counts.where("n > 1"), "simhash-values"), KNOWN_VALUES * m).collect()
+    counts = written(counts.where("n > 1"), "simhash-values")
+    known = most_frequent(counts, KNOWN_VALUES * m).collect()
     lists: list[list[tuple[int, int]]] = [[] for _ in groups]
     for r in known:
         lists[r.key >> 40].append((r.key & ((1 << 40) - 1), r.n))
     pairs = [(np.array([v for v, _ in sorted(x)], np.int64), np.array([c for _, c in sorted(x)], np.float64)) for x in lists]
     mean = [max(0.0, (n - c.sum())) / 2 ** min(len(g), 60) for (_, c), g in zip(pairs, groups)]
-    # at most n / most of each partition's values are past it, so this list is bounded
-    most = max(HOT, n // (KNOWN_VALUES // 2))
-    hot = {r.key: -(-r.n // most) for r in known if r.n > most}
+    most = max(HOT, m * n // HOT_VALUES)  # so at most HOT_VALUES are past it
+    past = counts.where(F.col("n") > most).orderBy("key").toArrow()
+    hot = (past.column("key").to_numpy(), -(-past.column("n").to_numpy() // most))
     return n, Plan(groups, pairs, mean, hot)
 
 

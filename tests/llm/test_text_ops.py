@@ -263,6 +263,12 @@ def brute_fingerprint(t):
     return sum((2 * o > len(sh)) << k for k, o in enumerate(ones))
 
 
+def test_fingerprint_in_pieces():
+    rnd = random.Random(16)
+    for t in (prose(rnd, 400), "one", "one two", " one  two three ", "", "a " * 50, "x" * 300):
+        assert {simhash.fingerprint(t.encode(), n) for n in (1, 7, 100, 1 << 20)} == {brute_fingerprint(t)}
+
+
 @pytest.mark.parametrize("hot", [20_000, 3])
 def test_simhash_against_brute_force(spark, tables, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT", hot)
@@ -302,7 +308,7 @@ def test_pigeonhole_finds_all_pairs():
         for x in g:
             v, c = np.unique(simhash.value_of(fp, x), return_counts=True)
             known.append((v[c > 1], c[c > 1] * 50.0))
-        plan = simhash.Plan(g, known, [0.5] * m, {})
+        plan = simhash.Plan(g, known, [0.5] * m, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
         assert (plan.thresholds([simhash.value_of(fp, x) for x in g]).sum(1) == 4 - m).all()
         key, f, kind, _ = plan.rows(fp)
         links = simhash.links_within(key, f, kind.astype(np.int64))
