@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: From the median deviation to the standard deviation of a normal distribution; alarm and least length of the CUSUM.
 MAD_SCALE = 1.4826
+CUSUM_ALARM, CUSUM_LEAST = 4.0, 15
 
 
 def rnd(c, k: int = 4) -> Column:
@@ -91,19 +93,18 @@ def cadence(df: DataFrame, by: str, ts: str, tie: str) -> DataFrame:
     return g.withColumn("cv", safe_div(F.col("sd_gap"), F.col("mean_gap"))).withColumn("burstiness", safe_div(F.col("sd_gap") - F.col("mean_gap"), F.col("sd_gap") + F.col("mean_gap")))
 
 
-def cusum(values: Column, alarm: float = 4.0, least: int = 15) -> Column:
-    """Largest two-sided CUSUM of an array in deviations from its own mean; struct(score, alarm)."""
+def cusum(values: Column, alarm: float = CUSUM_ALARM, least: int = CUSUM_LEAST) -> Column:
+    """Largest two-sided CUSUM of an array about its own mean, in units of the values; struct(score, alarm). Under `least` values: 0."""
     n = F.size(values)
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-    sd = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
     zero = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.lit(0.0).alias("top"))
 
     def step(a, x):
-        z = (x - mean) / sd
+        z = x - mean
         up, down = F.greatest(F.lit(0.0), a["up"] + z), F.greatest(F.lit(0.0), a["down"] - z)
         return F.struct(up.alias("up"), down.alias("down"), F.greatest(a["top"], up, down).alias("top"))
 
-    score = F.when((n >= least) & (sd > 0), F.aggregate(values, zero, step, lambda a: a["top"])).otherwise(0.0)
+    score = F.when(n >= least, F.aggregate(values, zero, step, lambda a: a["top"])).otherwise(0.0)
     return F.struct(score.alias("score"), (score >= alarm).alias("alarm"))
 
 
@@ -129,18 +130,28 @@ def sample_confidence(n) -> Column:
 
 
 def decay(kind, age_days, half_life) -> Column:
-    """none, exponential (half-life), linear (to 0 at two half-lives) or step (1, then 0 past the half-life)."""
+    """none, exponential (half-life), linear (to 0 at two half-lives) or step (1, then 0 past the half-life).
+
+    A half-life of 0 or less never decays; kinds of other names are exponential.
+    """
+    half = F.nullif(half_life, F.lit(0.0))
     return (
-        F.when(kind == "exponential", F.pow(F.lit(0.5), age_days / half_life)).when(kind == "linear", F.greatest(F.lit(0.0), 1 - age_days / (2 * half_life)))
-        .when(kind == "step", F.when(age_days <= half_life, 1.0).otherwise(0.0)).otherwise(1.0)
+        F.when((kind == "none") | (half_life <= 0), 1.0).when(kind == "linear", F.greatest(F.lit(0.0), 1 - age_days / (2 * half)))
+        .when(kind == "step", F.when(age_days <= half_life, 1.0).otherwise(0.0)).otherwise(F.pow(F.lit(0.5), age_days / half))
     )
 
 
-def normalise(kind, v, lo, hi) -> Column:
-    """binary, bounded (lo..hi), zscore (capped at hi) or percentile, into 0..1."""
+def normalise(kind, v, lo, hi, mid=None) -> Column:
+    """binary, bounded (lo..hi), zscore (its size, capped at hi), piecewise (lo to 0, mid to 0.5, hi to 1) or percentile, into 0..1."""
+    mid = (lo + hi) / 2 if mid is None else mid
+    no_step = lambda d: F.nullif(d, F.lit(0.0))
+    below = F.coalesce(0.5 * (v - lo) / no_step(mid - lo), F.lit(0.5))
+    above = F.coalesce(0.5 + 0.5 * (v - mid) / no_step(hi - mid), F.lit(1.0))
+    piecewise = F.when(v <= lo, 0.0).when(v >= hi, 1.0).when(v <= mid, below).otherwise(above)
     return (
-        F.when(kind == "binary", F.when(v > 0, 1.0).otherwise(0.0)).when(kind == "bounded", clamp((v - lo) / F.nullif(hi - lo, F.lit(0.0)))).when(kind == "zscore", clamp(v / hi)).otherwise(clamp(v))
-    )
+        F.when(kind == "binary", F.when(v > 0, 1.0).otherwise(0.0)).when(kind == "bounded", clamp((v - lo) / no_step(hi - lo)))
+        .when(kind == "zscore", clamp(F.when(hi > 0, F.abs(v) / no_step(hi)).otherwise(F.abs(v)))).when(kind == "piecewise", piecewise).otherwise(clamp(v))
+    )
 
 
 def weighted(weights: dict[str, float]) -> Column:
@@ -152,6 +163,6 @@ def weighted(weights: dict[str, float]) -> Column:
 
 
 def edge_confidence(count, most, days) -> Column:
-    """0.6 volume (full at 30 % of the largest) + 0.4 recency (7, 30, 90 days)."""
-    volume = F.least(F.lit(1.0), count / (0.3 * most))
+    """0.6 volume (full at 30 % of the largest, 1 at least) + 0.4 recency (7, 30, 90 days)."""
+    volume = F.least(F.lit(1.0), count / F.greatest(F.lit(1.0), 0.3 * most))
     return 0.6 * volume + 0.4 * F.when(days <= 7, 1.0).when(days <= 30, 0.7).when(days <= 90, 0.4).otherwise(0.1)

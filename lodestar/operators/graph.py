@@ -16,11 +16,18 @@ from lodestar.operators.relational import top_k
 _OWN: list[tempfile.TemporaryDirectory] = []
 
 
+def is_local(spark) -> bool:
+    """Whether driver and executors are one process, so that a folder of the driver is one of all."""
+    return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+
+
 def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not path:  # tests and local runs only
+            if not is_local(df.sparkSession):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             _OWN.append(tempfile.TemporaryDirectory(prefix="lodestar-"))
             path = _OWN[-1].name
         sc.setCheckpointDir(path)
@@ -158,29 +165,32 @@ def stars(e: DataFrame, leaves: int = 4) -> DataFrame:
     return free.groupBy("centre").agg(F.count(F.lit(1)).alias("leaves")).where(F.col("leaves") >= leaves)
 
 
-def betweenness(e: DataFrame, sources: DataFrame, nodes_most: int = 200_000) -> DataFrame:
-    """Brandes from the given sources, one task each with the whole adjacency; refused for graphs past nodes_most edges."""
-    from lodestar.operators.graph_local import brandes
-
-    rows = e.select("src", "dst").limit(nodes_most + 1).collect()
-    if len(rows) > nodes_most:
-        raise ValueError(f"more than {nodes_most} edges: sample the graph or use degree and reach")
-    adj: dict = {}
-    for r in rows:
-        adj.setdefault(r.src, []).append(r.dst)
-    adj_b = e.sparkSession.sparkContext.broadcast({k: sorted(v) for k, v in adj.items()})
-
-    def run(batches):
-        import pandas as pd
-
-        total: dict = {}
-        for pdf in batches:
-            for s in pdf["source"]:
-                for k, v in brandes(adj_b.value, s).items():
-                    total[k] = total.get(k, 0.0) + v
-        yield pd.DataFrame({"node": list(total), "score": list(total.values())}).astype({"node": "int64", "score": "float64"})
-
-    return sources.select(F.col("source").cast("bigint")).mapInPandas(run, "node long, score double").groupBy("node").agg(F.sum("score").alias("score"))
+def betweenness(e: DataFrame, sources: DataFrame) -> DataFrame:
+    """Dependencies of the nodes on shortest paths from the given sources, level by level for all sources at once.
+
+    Forward, a level's path counts go along the edges to nodes not reached before; backward, a level's dependencies go to the level
+    before by the share of paths. Every step is a join, so no task holds the graph.
+    """
+    e = cut(e.select("src", "dst").distinct())
+    front = sources.select("source", F.col("source").alias("node"), F.lit(1.0).alias("paths")).distinct()
+    seen, levels = front.select("source", "node"), [cut(front)]
+    while True:
+        step = levels[-1].join(e, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        front = cut(step.join(seen, ["source", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        levels.append(front)
+        seen = cut(seen.union(front.select("source", "node")))
+    total, after = [], levels[-1].withColumn("on", F.lit(0.0))
+    for level in reversed(levels[:-1]):
+        total.append(after.select("node", "on"))
+        share = after.select("source", F.col("node").alias("dst"), ((1 + F.col("on")) / F.col("paths")).alias("share"))
+        back = level.join(e, F.col("node") == F.col("src")).join(share, ["source", "dst"]).groupBy("source", "node").agg(F.sum(F.col("paths") * F.col("share")).alias("on"))
+        after = cut(level.join(back, ["source", "node"], "left").select("source", "node", "paths", F.coalesce("on", F.lit(0.0)).alias("on")))
+    out = after.select("node", F.lit(0.0).alias("on"))  # a source is no node between
+    for t in total:
+        out = out.union(t)
+    return out.groupBy("node").agg(F.sum("on").alias("score"))
 
 
 def bridges(e: DataFrame, component: DataFrame, edges_most: int = 2_000_000) -> DataFrame:

@@ -1,31 +1,7 @@
-"""Graph routines that need one task with a whole (bounded) graph: shortest-path counting and low links."""
+"""Low links, which need one task with a whole component."""
 
 from __future__ import annotations
 
-from collections import deque
-
-
-def brandes(adj: dict, s) -> dict:
-    """Dependencies of all nodes on shortest paths from s (unweighted)."""
-    order, before, count, dist = [], {s: []}, {s: 1.0}, {s: 0}
-    q = deque([s])
-    while q:
-        v = q.popleft()
-        order.append(v)
-        for w in adj.get(v, ()):
-            if w not in dist:
-                dist[w], count[w], before[w] = dist[v] + 1, 0.0, []
-                q.append(w)
-            if dist[w] == dist[v] + 1:
-                count[w] += count[v]
-                before[w].append(v)
-    out = dict.fromkeys(order, 0.0)
-    for w in reversed(order):
-        for v in before[w]:
-            out[v] += count[v] / count[w] * (1 + out[w])
-    out.pop(s)
-    return out
-
 
 def low_links(edges: list[tuple]) -> tuple[list[tuple], list]:
     """Bridges (a < b) and articulation points, by an iterative depth-first search."""

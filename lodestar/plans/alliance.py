@@ -71,7 +71,7 @@ def opposition_daily(spark: SparkSession, d: str, notable: float = 300_000) -> D
 
 ALLIED = AK + """, ae AS (SELECT a.alliance_id AS a, b.alliance_id AS b, count(*) AS n, max(a.killmail_time) AS last_at FROM k a JOIN k b ON a.sequence_id = b.sequence_id AND a.alliance_id < b.alliance_id GROUP BY 1, 2 HAVING count(*) >= 3),
 he AS (SELECT alliance_id AS a, victim_alliance_id AS b, count(*) AS n, max(killmail_time) AS last_at FROM k WHERE alliance_id <> victim_alliance_id GROUP BY 1, 2 HAVING count(*) >= 3)"""
-_CONF = "0.6 * least(1.0, n / (0.3 * max(n) OVER ())) + 0.4 * CASE WHEN dd <= 7 THEN 1.0 WHEN dd <= 30 THEN 0.7 WHEN dd <= 90 THEN 0.4 ELSE 0.1 END"
+_CONF = "0.6 * least(1.0, n / greatest(1.0, 0.3 * max(n) OVER ())) + 0.4 * CASE WHEN dd <= 7 THEN 1.0 WHEN dd <= 30 THEN 0.7 WHEN dd <= 90 THEN 0.4 ELSE 0.1 END"
 
 
 def allied(spark: SparkSession, d: str, least: int = 3) -> DataFrame:

@@ -94,9 +94,14 @@ def cadence_metrics(spark: SparkSession, d: str) -> DataFrame:
     return c.select("character_id", "n_gaps", rnd("mean_gap", 2).alias("mean_gap"), rnd("sd_gap", 2).alias("sd_gap"), rnd("max_gap", 2).alias("max_gap"), rnd("cv").alias("cv"), rnd("burstiness").alias("burstiness"))
 
 
-@query("cusum_drift")
+@query("cusum_drift", V.ctes("es").replace("WITH", "WITH RECURSIVE", 1) + """, c AS (SELECT character_id, CAST(ts AS DATE) AS day, CAST(count(*) AS DOUBLE) AS n FROM es GROUP BY 1, 2),
+x AS (SELECT character_id, n - sum(n) OVER w / count(*) OVER w AS z, row_number() OVER (PARTITION BY character_id ORDER BY day) AS i, count(*) OVER w AS days FROM c WINDOW w AS (PARTITION BY character_id)),
+r AS (SELECT character_id, i, days, greatest(0.0, z) AS up, greatest(0.0, -z) AS down, abs(z) AS top FROM x WHERE i = 1
+UNION ALL SELECT x.character_id, x.i, x.days, greatest(0.0, up + z), greatest(0.0, down - z), greatest(top, up + z, down - z) FROM r JOIN x ON x.character_id = r.character_id AND x.i = r.i + 1),
+s AS (SELECT character_id, CASE WHEN max(days) >= 15 THEN max(top) ELSE 0 END AS score, max(days) AS days FROM r GROUP BY 1)
+SELECT character_id, days, round(score, 4) AS score, score >= 4 AS alarm FROM s""")
 def cusum_drift(spark: SparkSession, d: str) -> DataFrame:
-    """Two-sided CUSUM over a character's daily counts, in date order (checked against a loop in the tests)."""
+    """Two-sided CUSUM over a character's daily counts, in date order."""
     days = V.event_stream(spark, d).groupBy("character_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     g = days.groupBy("character_id").agg(F.array_sort(F.collect_list(F.struct("day", "n"))).alias("z"))
     c = K.cusum(F.transform("z", lambda x: x["n"]))

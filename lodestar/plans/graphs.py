@@ -60,7 +60,9 @@ def hits_k3(spark: SparkSession, d: str) -> DataFrame:
     return G.hits(supply(spark, d), 3).select("node", rnd("hub", 6).alias("hub"), rnd("auth", 6).alias("auth"))
 
 
-@query("k_core_5")
+@query("k_core_5", CS.replace("WITH", "WITH RECURSIVE", 1) + """, r AS (SELECT 0 AS round_no, src, dst FROM e
+UNION ALL SELECT round_no + 1, src, dst FROM (SELECT *, count(*) OVER (PARTITION BY src) AS x, count(*) OVER (PARTITION BY dst) AS y FROM r) WHERE x >= 5 AND y >= 5 AND round_no < 40)
+SELECT DISTINCT src AS node FROM r WHERE round_no = 40""")
 def k_core_5(spark: SparkSession, d: str) -> DataFrame:
     return G.k_core(supply(spark, d), 5)
 
@@ -100,7 +102,11 @@ def shortest_hops(spark: SparkSession, d: str) -> DataFrame:
     return G.hops(e, e.select(F.col("src").alias("source")).distinct(), 5)
 
 
-@query("map_betweenness")
+@query("map_betweenness", V.ctes("sg").replace("WITH", "WITH RECURSIVE", 1) + """, w AS (SELECT 0 AS d, src AS s, src AS t, CAST(1 AS DOUBLE) AS n FROM (SELECT DISTINCT src FROM sg)
+UNION ALL SELECT d + 1, s, dst, sum(n) FROM w JOIN sg ON t = src WHERE d < 12 GROUP BY d + 1, s, dst),
+p AS (SELECT s, t, min(d) AS d, min_by(n, d) AS n FROM w GROUP BY 1, 2),
+b AS (SELECT a.t AS node, sum(CASE WHEN a.s <> a.t AND b.s <> b.t THEN a.n * b.n / p.n ELSE 0 END) AS score FROM p a JOIN p b ON a.t = b.s JOIN p ON p.s = a.s AND p.t = b.t AND p.d = a.d + b.d GROUP BY 1)
+SELECT node, round(score / 2, 6) AS betweenness FROM b""")
 def map_betweenness(spark: SparkSession, d: str) -> DataFrame:
     """Betweenness of the systems from every source (each pair counted from both ends, so halved)."""
     e = V.system_graph(spark, d)
@@ -108,7 +114,11 @@ def map_betweenness(spark: SparkSession, d: str) -> DataFrame:
     return b.select("node", rnd(F.col("score") / 2, 6).alias("betweenness"))
 
 
-@query("bridges_and_cuts")
+@query("bridges_and_cuts", CS.replace("WITH", "WITH RECURSIVE", 1) + """, br(a, b, node) AS (SELECT src, dst, src FROM e WHERE src < dst
+UNION SELECT a, b, e.dst FROM br JOIN e ON e.src = node WHERE NOT (e.src = a AND e.dst = b)),
+v AS (SELECT src AS cut, min(dst) AS start FROM e GROUP BY 1), ar(cut, node) AS (SELECT cut, start FROM v UNION SELECT cut, e.dst FROM ar JOIN e ON e.src = node WHERE e.dst <> cut)
+SELECT 'bridge' AS kind, src AS a, dst AS b FROM e WHERE src < dst AND NOT EXISTS (SELECT 1 FROM br WHERE br.a = src AND br.b = dst AND node = dst)
+UNION ALL SELECT DISTINCT 'articulation', src, NULL FROM e WHERE NOT EXISTS (SELECT 1 FROM ar WHERE cut = src AND node = dst)""")
 def bridges_and_cuts(spark: SparkSession, d: str) -> DataFrame:
     e = supply(spark, d)
     return G.bridges(e, G.components(e))
@@ -185,7 +195,11 @@ def role_signals(spark: SparkSession, d: str) -> DataFrame:
     return deg.join(c, "degree").select("node", "degree", rnd("pr", 6).alias("pct"), role.alias("role"))
 
 
-@query("evidence_paths")
+@query("evidence_paths", V.ctes("sg").replace("WITH", "WITH RECURSIVE", 1) + """, w AS (SELECT src, dst, CASE WHEN (src - dst) % 5 = 0 THEN CAST(0.80 AS DOUBLE) ELSE CAST(0.90 AS DOUBLE) END AS w FROM sg),
+p AS (SELECT src AS source, [src, dst] AS path, w AS score, 1 AS hops FROM w WHERE src % 7 <> 0
+UNION ALL SELECT source, list_append(path, dst), score * w, hops + 1 FROM p JOIN w ON path[-1] = src WHERE NOT list_contains(path, dst) AND hops < 4),
+h AS (SELECT * FROM p WHERE path[-1] % 7 = 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY hops, score DESC, path) = 1)
+SELECT source, array_to_string(path, '-') AS path, round(score, 6) AS score, hops FROM h""")
 def evidence_paths(spark: SparkSession, d: str) -> DataFrame:
     """Best shortest path of each system to a flagged one, scored by the product of edge weights."""
     sg = V.system_graph(spark, d)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.kernels import exact_sum, rnd
 from lodestar.operators import relational as R
+from lodestar.operators.graph import is_local
 from lodestar.plans.registry import query
+from lodestar.sources.sinks import line_protocol
 from lodestar.sources import views as V
 from lodestar.streaming import flows as S
 
@@ -44,6 +46,8 @@ def shared(spark: SparkSession, name: str) -> str:
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         _OWN.append(tempfile.TemporaryDirectory(prefix="lodestar-"))
         root = f"file://{_OWN[-1].name}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -67,20 +71,23 @@ def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     return R.insert_absent(c.where("c_custkey % 4 = 0"), c.where("c_custkey % 4 <> 0 or c_custkey % 6 = 0"), ["c_custkey"])
 
 
-@query("spaced_events")
+@query("spaced_events", V.ctes("es").replace("WITH", "WITH RECURSIVE", 1) + """, x AS (SELECT event_id, character_id, ts, row_number() OVER (PARTITION BY character_id ORDER BY ts, event_id) AS i FROM es),
+n AS (SELECT a.character_id, a.i, min(b.i) AS nxt FROM x a JOIN x b ON a.character_id = b.character_id AND b.ts >= a.ts + INTERVAL 6 HOUR GROUP BY 1, 2),
+r AS (SELECT character_id, CAST(1 AS BIGINT) AS i FROM x WHERE i = 1 UNION ALL SELECT n.character_id, n.nxt FROM r JOIN n ON n.character_id = r.character_id AND n.i = r.i)
+SELECT event_id, x.character_id, ts FROM r JOIN x ON x.character_id = r.character_id AND x.i = r.i""")
 def spaced_events(spark: SparkSession, d: str, seconds: int = 21_600) -> DataFrame:
-    """Events at least `seconds` after the last kept one of their character (checked against a loop in the tests)."""
+    """Events at least `seconds` after the last kept one of their character."""
     return R.keep_spaced(V.event_stream(spark, d), "character_id", "ts", "event_id", seconds).select("event_id", "character_id", "ts")
 
 
-@query("line_protocol_export", """SELECT event_id, concat('events,type=', event_type, ',system=', user_id % 10, ' user=', user_id, 'i ', epoch_us(ts) * 1000) AS line FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
+@query("line_protocol_export", """SELECT event_id, concat('events,type=', event_type, '\\,\\ a\\=b,system=', user_id % 10, ' user=', user_id, 'i ', epoch_us(ts) * 1000) AS line FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
 def line_protocol_export(spark: SparkSession, d: str) -> DataFrame:
     """Incremental export with an overlap, encoded as line protocol."""
     e = V.read(spark, d, "events")
     t = F.broadcast(e.agg(F.max("ts").alias("m")))
-    s = lambda c: F.col(c).cast("string")
-    line = F.concat(F.lit("events,type="), s("event_type"), F.lit(",system="), (F.col("user_id") % 10).cast("string"), F.lit(" user="), s("user_id"), F.lit("i "), (F.unix_micros("ts") * 1000).cast("string"))
-    return e.join(t, F.col("ts") >= F.col("m") - F.expr("INTERVAL 2 DAYS")).select("event_id", line.alias("line"))
+    rows = e.join(t, F.col("ts") >= F.col("m") - F.expr("INTERVAL 2 DAYS"))
+    rows = rows.select("event_id", "ts", F.concat(F.col("event_type"), F.lit(", a=b")).alias("type"), (F.col("user_id") % 10).alias("system"), F.concat(F.col("user_id").cast("string"), F.lit("i")).alias("user"))
+    return rows.select("event_id", line_protocol("events", ["type", "system"], ["user"], "ts").alias("line"))
 
 
 @query("retention", "SELECT event_id, event_type, ts FROM events WHERE NOT (event_type = 'view' AND ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY OR event_type = 'error' AND ts < (SELECT max(ts) FROM events) - INTERVAL 14 DAY)")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import graph as G
-from lodestar.operators.graph_local import brandes, low_links
+from lodestar.operators.graph_local import low_links
 
 
 @pytest.fixture(scope="module")
@@ -75,15 +75,27 @@ def test_bridges_by_removal(graph):
     assert art == sorted(v for v in nodes if parts([q for q in pairs if v not in q], nodes - {v}) > parts(pairs, nodes))
 
 
+def test_betweenness_by_all_shortest_paths(spark, graph):
+    pairs, e = graph
+    adj = adjacency(pairs)
+    want = dict.fromkeys(adj, 0.0)
+    for s in adj:
+        for t in adj:
+            paths, level = [], [[s]]
+            while level and not paths and s != t:
+                level = [[*p, n] for p in level for n in adj[p[-1]] if n not in p]
+                paths = [p for p in level if p[-1] == t]
+            for p in paths:
+                for v in p[1:-1]:
+                    want[v] += 1 / len(paths)
+    got = {r.node: r.score for r in G.betweenness(e, e.select(F.col("src").alias("source")).distinct()).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_betweenness_of_a_path(spark):
-    adj = {1: [2], 2: [1, 3], 3: [2, 4], 4: [3]}
-    total = {k: sum(brandes(adj, s).get(k, 0) for s in adj) / 2 for k in adj}
-    assert total == {1: 0, 2: 2, 3: 2, 4: 0}
     e = G.undirected(spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long"))
     got = {r.node: r.score / 2 for r in G.betweenness(e, e.select(F.col("src").alias("source")).distinct()).collect()}
-    assert got == total
-    with pytest.raises(ValueError):
-        G.betweenness(e, e.select(F.col("src").alias("source")), nodes_most=2)
+    assert got == {1: 0, 2: 2, 3: 2, 4: 0}
 
 
 def test_hops_and_evidence(spark):

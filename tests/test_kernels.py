@@ -37,11 +37,10 @@ def test_gini(spark):
 def test_cusum_against_loop(spark):
     for values in ([1.0] * 10 + [9.0] * 10, [1.0, 2.0] * 12, [3.0] * 20, [1.0, 5.0]):
         n, m = len(values), sum(values) / len(values)
-        sd = math.sqrt(sum((v - m) ** 2 for v in values) / n)
         up = down = top = 0.0
-        if n >= 15 and sd > 0:
+        if n >= 15:
             for v in values:
-                up, down = max(0, up + (v - m) / sd), max(0, down - (v - m) / sd)
+                up, down = max(0, up + v - m), max(0, down - v + m)
                 top = max(top, up, down)
         r = one(spark.createDataFrame([(values,)], "z array<double>").select(K.cusum(F.col("z")).alias("c")))["c"]
         assert r.score == pytest.approx(top) and r.alarm == (top >= 4)
@@ -58,6 +57,14 @@ def test_decay_and_normalise(spark):
     d = lambda k, a, h: K.decay(F.lit(k), F.lit(a), F.lit(h))
     r = one(spark.range(1).select(d("exponential", 7.0, 7.0).alias("e"), d("linear", 7.0, 7.0).alias("l"), d("step", 8.0, 7.0).alias("s"), d("none", 99.0, 7.0).alias("n"), K.normalise(F.lit("bounded"), F.lit(5.0), F.lit(0.0), F.lit(10.0)).alias("b")))
     assert (r["e"], r["l"], r["s"], r["n"], r["b"]) == (0.5, 0.5, 0.0, 1.0, 0.5)
+    assert tuple(one(spark.range(1).select(d("exponential", 7.0, 0.0).alias("a"), d("other", 14.0, 7.0).alias("b"), d("linear", 7.0, -1.0).alias("c"))).values()) == (1.0, 0.25, 1.0)
+    n = lambda k, v, lo, hi, *mid: K.normalise(F.lit(k), F.lit(float(v)), F.lit(float(lo)), F.lit(float(hi)), *(F.lit(float(m)) for m in mid))
+    pieces = [(-1, 0, 1, 5, 0.0), (0.5, 0, 1, 5, 0.25), (1, 0, 1, 5, 0.5), (3, 0, 1, 5, 0.75), (6, 0, 1, 5, 1.0), (2, 0, 0, 4, 0.75), (3, 0, 4, 4, 0.375)]
+    got = one(spark.range(1).select(*(n("piecewise", v, lo, hi, mid).alias(f"p{i}") for i, (v, lo, mid, hi, _) in enumerate(pieces))))
+    assert tuple(got.values()) == tuple(x[-1] for x in pieces)
+    assert tuple(one(spark.range(1).select(n("zscore", -1.5, 0, 3).alias("a"), n("zscore", 9, 0, 3).alias("b"), n("zscore", -0.5, 0, 0).alias("c"))).values()) == (0.5, 1.0, 0.5)
+    conf = lambda c, m: K.edge_confidence(F.lit(c), F.lit(m), F.lit(1))
+    assert tuple(one(spark.range(1).select(conf(1, 2).alias("a"), conf(3, 100).alias("b"))).values()) == pytest.approx((1.0, 0.46))
 
 
 def test_sets_and_cosine(spark):
