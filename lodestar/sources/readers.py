@@ -15,7 +15,12 @@ PAYLOAD = (
 
 
 def archive_texts(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
-    """Members of tar archives (plain, gzip, bzip2, xz) as rows: archive, member, payload. One task reads one archive as a stream of its members."""
+    """Members of the tar archives (plain, gzip, bzip2, xz) in a folder as rows: archive, member, payload."""
+    return members(spark.read.format("binaryFile").option("pathGlobFilter", "*.tar*").load(path), suffix)
+
+
+def members(archives: DataFrame, suffix: str = ".json") -> DataFrame:
+    """Members of archives (path, content) as rows. An archive is held as it is stored; its members are read one after the other."""
 
     def run(batches):
         import io
@@ -35,7 +40,7 @@ def archive_texts(spark: SparkSession, path: str, suffix: str = ".json") -> Data
                                 rows = []
                 yield pd.DataFrame(rows, columns=["archive", "member", "payload"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.tar*").load(path).select("path", "content").mapInPandas(run, "archive string, member string, payload string")
+    return archives.select("path", "content").mapInPandas(run, "archive string, member string, payload string")
 
 
 def normalised(raw: DataFrame, payload: str = "payload") -> DataFrame:
