@@ -83,16 +83,20 @@ e AS (SELECT *, CASE WHEN participants >= 14 THEN 'upper' ELSE 'lower' END AS si
 z AS (SELECT *, round(CASE WHEN stddev_pop(eff) OVER (PARTITION BY size_class) > 0 THEN (eff - avg(eff) OVER (PARTITION BY size_class)) / stddev_pop(eff) OVER (PARTITION BY size_class) ELSE 0 END, 4) AS z, cume_dist() OVER (ORDER BY round(eff, 6)) AS pct FROM e)"""
 
 
-def side_table(spark: SparkSession, d: str) -> DataFrame:
-    """Side metrics, aggregated on each side of the join before it, so no count is multiplied. Percentiles come from counts of values."""
+def side_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Side metrics and their z within the size class, aggregated on each side of the join before it, so no count is multiplied."""
     b = with_battle(V.event_stream(spark, d))
     s = target_table(spark, d).groupBy("battle_id", "side_key").agg(F.count(F.lit(1)).alias("kills"), F.countDistinct("character_id").alias("pilots"), (exact_sum(F.col("sustain")) / F.count(F.lit(1))).alias("avg_sustain"))
     g = b.groupBy("battle_id").agg(F.countDistinct("character_id").alias("participants"), (F.greatest(F.lit(1), F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))) / 60.0).alias("dur_min"))
     e = s.join(g, "battle_id").withColumn("size_class", F.when(F.col("participants") >= 14, "upper").otherwise("lower"))
     e = e.withColumn("eff", F.col("avg_sustain") / F.log(1 + F.col("kills") / F.greatest(F.lit(1.0), F.col("dur_min")) + 1e-6)).withColumn("eff6", rnd("eff", 6))
     st = e.groupBy("size_class").agg(F.avg("eff").alias("mu"), F.stddev_pop("eff").alias("sd"))
-    e = e.join(F.broadcast(st), "size_class").withColumn("z", rnd(safe_div(F.col("eff") - F.col("mu"), F.col("sd"))))
-    e = cut(e)  # read twice below
+    return e.join(F.broadcast(st), "size_class").withColumn("z", rnd(safe_div(F.col("eff") - F.col("mu"), F.col("sd"))))
+
+
+def side_table(spark: SparkSession, d: str) -> DataFrame:
+    """Side scores with percentiles, from counts of values."""
+    e = cut(side_scores(spark, d))  # read twice below
     return e.join(value_counts_ranked(e, "eff6"), "eff6").withColumn("pct", F.col("upto") / F.col("total"))
 
 
@@ -130,7 +134,7 @@ SELECT character_id, battles, round(hs, 6) AS high_sustain, round(cross_side, 6)
   round(CASE WHEN battles < 5 THEN 0 ELSE greatest(0, least(1, 0.2 * hs + 0.12 * cross_side + 0.22 * (CASE WHEN onn > 0 THEN os / onn ELSE 0 END - CASE WHEN tn - bn > 0 THEN (ts - bs) / (tn - bn) ELSE 0 END) + 0.08 * (hs - ls) + 0.08 * role)) END, 4) AS score FROM f, tot""")
 def suspicion_v1(spark: SparkSession, d: str) -> DataFrame:
     """Uplift of the opposing sides' anomaly where a pilot is present, against all other battles: totals less what was present."""
-    z = side_table(spark, d).select("battle_id", "side_key", "z")
+    z = cut(side_scores(spark, d).select("battle_id", "side_key", "z"))
     bz = z.groupBy("battle_id").agg(exact_sum(F.col("z")).alias("zs"), F.count(F.lit(1)).alias("zn"))
     tot = F.broadcast(bz.agg(F.sum("zs").alias("ts"), F.sum("zn").alias("tn")))  # one row
     o = actor_table(spark, d).join(bz, "battle_id", "left").join(z, ["battle_id", "side_key"], "left")

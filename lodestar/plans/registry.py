@@ -10,7 +10,7 @@ from importlib import import_module
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-PLANS = ("market", "battle", "alliance", "character", "graphs", "profiles", "spy", "incremental", "inquiries", "landing", "theaters")
+PLANS = ("market", "battle", "alliance", "character", "graphs", "profiles", "spy", "incremental", "inquiries", "landing", "theaters", "behavior")
 
 
 def half_up(sql: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.kernels import clamp, exact_sum, rnd, safe_div
 from lodestar.operators import graph as G
 from lodestar.operators.relational import band_join, gap_islands, overlap_join
-from lodestar.plans.battle import SIDES, actor_table, side_table, with_battle
+from lodestar.plans.battle import SIDES, actor_table, side_scores, with_battle
 from lodestar.plans.registry import query
 from lodestar.sources import views as V
 
@@ -186,7 +186,7 @@ def suspicion_v2(spark: SparkSession, d: str, least: int = 5, recent_days: int =
 
     Stand-ins: neighbours by shared battles, groups by number mod 12, degree over its mean for the rank, systems for whom a pilot avoids.
     """
-    z = G.cut(side_table(spark, d).select("battle_id", "side_key", "z"))
+    z = G.cut(side_scores(spark, d).select("battle_id", "side_key", "z"))
     bz = z.groupBy("battle_id").agg(exact_sum(F.col("z")).alias("zs"), F.count(F.lit(1)).alias("zn"))
     tot = F.broadcast(bz.agg(F.sum("zs").alias("ts"), F.sum("zn").alias("tn")))  # one row
     seen = with_battle(V.event_stream(spark, d)).groupBy("battle_id", "character_id").agg(F.min("system_id").alias("system_id"), F.max("ts").alias("at"))
