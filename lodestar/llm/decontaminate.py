@@ -3,8 +3,8 @@
 Words are runs of letters, digits and characters past ASCII, A-Z lower-cased. The automaton tracks for every document word the longest
 factor of any item that ends there; a length of 10 or more marks the last 10 words (items of fewer words count whole).
 
-Items are packed into automata of at most SHARD_WORDS words, so what is sent to executors at once is bounded; with more than one
-automaton each is streamed over the documents and the spans of a document are joined.
+Items are packed into automata of at most SHARD_WORDS words. One scan of the documents streams them through AT_ONCE automata, so what is
+sent to executors at once is bounded; if the benchmark needs more, its spans are written scan by scan and joined by document.
 
 Defined results: null or empty texts and items without words have no windows; items with a null item_id are left out; repeated items
 count once per item_id; repeated document rows get a row each.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm._base import column, small_batches, table, text_bytes, with_fields
+from lodestar.llm._base import column, pieces, small_batches, table, text_bytes, with_fields, written
 
 WINDOW = 10
 #: Most words of benchmark items in one automaton (an item longer than this has one of its own).
 SHARD_WORDS = 100_000
+#: Automata that one scan goes through.
+AT_ONCE = 8
 #: The pipeline drops documents of which at least this share is hit; of others it removes the spans.
 DROP_COVERAGE = 0.5
 
@@ -172,19 +175,23 @@ def load_items(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator
         yield shard
 
 
-def scan_texts(auto: Automaton, texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+def scan_texts(autos: list[Automaton], texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
     """For each text the number of its words, the hit spans (word numbers) and the ids of the items found."""
-    get = auto.vocab.get
     for t in texts:
-        ws = words_of(t)
-        ids = np.array([get(w, 0) for w in ws], np.int64)
         spans: list[tuple[int, int]] = []
-        found: set[int] = set()
-        for a, b in candidates(auto, ids):
-            sp, it = auto.scan(ids[a:b].tolist())
-            spans += [(a + x, a + y) for x, y in sp]
-            found |= it
-        yield len(ws), spans, {auto.ids[k] for k in found}
+        found: set[str] = set()
+        ids = [[] for _ in autos]
+        for part in pieces(t):  # white space parts words, so none is cut
+            ws = words_of(part)
+            for of, auto in zip(ids, autos):
+                of.append(np.fromiter(map(auto.vocab.get, ws, repeat(0)), np.int64, len(ws)))
+        for of, auto in zip(ids, autos):
+            of = np.concatenate(of) if of else np.zeros(0, np.int64)
+            for a, b in candidates(auto, of):
+                sp, it = auto.scan(of[a:b].tolist())
+                spans += [(a + x, a + y) for x, y in sp]
+                found |= {auto.ids[k] for k in it}
+        yield sum(map(len, ids[0])), spans, found
 
 
 FOUND = {"n_words": T.LongType(), "starts": T.ArrayType(T.IntegerType()), "ends": T.ArrayType(T.IntegerType()), "items": T.ArrayType(T.StringType())}
@@ -194,11 +201,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], shard_words: in
     """The columns `keep` with n_words, the hit word spans (starts, ends) and the item ids found."""
     spark = docs.sparkSession
 
-    def part(auto_b, cols: list[str], source: DataFrame) -> DataFrame:
+    def part(autos_b, cols: list[str], source: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            auto = auto_b.value
             for b in small_batches(batches):
-                got = list(scan_texts(auto, text_bytes(b)))
+                got = list(scan_texts(autos_b.value, text_bytes(b)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(column(b, k) for k in cols),
@@ -212,21 +218,25 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], shard_words: in
 
         return source.select(*dict.fromkeys([*cols, "text"])).mapInArrow(run, with_fields(source, cols, **FOUND))
 
-    autos = [spark.sparkContext.broadcast(Automaton(s)) for s in load_items(benchmark, shard_words)] or [spark.sparkContext.broadcast(Automaton([]))]
-    if len(autos) == 1:
-        return part(autos[0], keep, docs)
-    # more items than one automaton holds: spans of all automata, joined by row
+    autos = map(Automaton, load_items(benchmark, shard_words))
+    first, second = list(islice(autos, AT_ONCE)) or [Automaton([])], next(autos, None)
+    if second is None:
+        return part(spark.sparkContext.broadcast(first), keep, docs)
+    # more items than one scan takes: what each finds is written, and joined by row
     rows = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
-    key = F.struct(*[F.col(k) for k in rows.columns])
-    rows = rows.withColumn("_row", F.sha2(F.to_json(key), 256))
-    found = part(autos[0], ["_row"], rows)
-    for a in autos[1:]:
-        found = found.union(part(a, ["_row"], rows))
-    found = found.groupBy("_row").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_set(F.arrays_zip("starts", "ends"))).alias("z"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
-    )
-    found = found.select("_row", "n_words", F.col("z.starts").alias("starts"), F.col("z.ends").alias("ends"), "items")
-    return rows.select(*keep, "_row").join(found, "_row").drop("_row")
+    rows = rows.withColumn("_row", F.sha2(F.to_json(F.struct(*rows.columns)), 256))
+    found, group = None, first
+    autos = chain([second], autos)
+    while group:
+        autos_b = spark.sparkContext.broadcast(group)
+        got = written(part(autos_b, ["_row"], rows).where(F.size("items") > 0), "hits")
+        autos_b.destroy()
+        found, group = got if found is None else found.union(got), list(islice(autos, AT_ONCE))
+    found = found.groupBy("_row").agg(F.flatten(F.collect_set(F.arrays_zip("starts", "ends"))).alias("z"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    found = found.select("_row", F.col("z.starts").alias("starts"), F.col("z.ends").alias("ends"), "items")
+    counted = part(spark.sparkContext.broadcast([Automaton([])]), [*keep, "_row"], rows).drop("starts", "ends", "items")
+    none = F.array().cast("array<int>")
+    return counted.join(found, "_row", "left").select(*keep, "n_words", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def merged(starts, ends) -> list[tuple[int, int]]:
@@ -257,12 +267,13 @@ _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    """The text without the words of the spans and what stands between them."""
-    at = [m.span() for m in _WORD.finditer(text)]
-    out, last = [], 0
+    """The text without the words of the spans (in order, apart) and what stands between them."""
+    out, last, words = [], 0, enumerate(_WORD.finditer(text))
     for a, b in spans:
-        out.append(text[last : at[a][0]])
-        last = at[b - 1][1]
+        begin = next(m.start() for i, m in words if i == a) if b - a > 1 else None
+        m = next(m for i, m in words if i == b - 1)
+        out.append(text[last : m.start() if begin is None else begin])
+        last = m.end()
     return b"".join([*out, text[last:]])
 
 

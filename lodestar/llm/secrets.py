@@ -30,6 +30,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+BLANK = re.compile(r"\s")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Documents whose words train the model of identifiers, about so many; values are counted in HIT_SHARE times as many.
 SAMPLE_DOCS = 1000
@@ -125,6 +126,16 @@ def identifiers(text: str) -> list[str]:
     return plain + joins
 
 
+def parts(text: str, most: int = 1 << 20) -> Iterator[str]:
+    """The text in parts of about `most` characters that end at a line or a blank, for counting."""
+    at = 0
+    while at < len(text):
+        m = BLANK.search(text, min(at + most, len(text)))
+        end = m.end() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
 def train(texts: list[str]) -> Models:
     """Models of texts at hand."""
     return Models(*(pair_counts(x) + sum((pair_counts(get(t)) for t in texts), np.zeros((SIZE, SIZE), np.int64)) for x, get in START))
@@ -156,9 +167,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Models:
         n = np.zeros((2, SIZE, SIZE), np.int64)
         for b in small_batches(batches):
             for t, near in zip(column(b, "text").to_pylist(), column(b, "near").to_pylist()):
-                n[0] += pair_counts(values(t))
-                if near:
-                    n[1] += pair_counts(identifiers(t))
+                for part in parts(t):
+                    n[0] += pair_counts(values(part))
+                    if near:
+                        n[1] += pair_counts(identifiers(part))
         k = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.ravel()[k])], names=["pair", "n"])
 

@@ -357,8 +357,9 @@ def test_decontamination_against_brute_force(spark, tables, monkeypatch):
                     ids |= win[w[s : s + n]]
         want[i] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit))
     d = tables(documents=docs, benchmark=items)
-    for size in (100_000, 60):  # one automaton, and several
+    for size, at_once in ((100_000, 8), (60, 100), (60, 2)):  # one automaton, several, and several scans
         monkeypatch.setattr(decontaminate.scan, "__defaults__", (size,))
+        monkeypatch.setattr(decontaminate, "AT_ONCE", at_once)
         r = decontaminate.op10_decontaminate(spark, d).toPandas().set_index("doc_id")
         assert {i: tuple(x) for i, *x in r.itertuples()} == want
     assert sum(x[4] for x in want.values()) > 20
@@ -367,6 +368,7 @@ def test_decontamination_against_brute_force(spark, tables, monkeypatch):
 def test_cut_leaves_the_rest():
     t = "Keep this, drop THE words here; keep that.".encode()
     assert decontaminate.cut(t, [(2, 6)]) == b"Keep this, ; keep that."
+    assert decontaminate.cut(t, [(0, 1), (3, 4), (6, 8)]) == b" this, drop  words here; ."
     assert decontaminate.merged([5, 1, 3], [8, 4, 6]) == [(1, 8)]
 
 
