@@ -77,13 +77,12 @@ def codes(s: str) -> np.ndarray:
 def pair_counts(samples: list[str]) -> np.ndarray:
     """How often a character follows the one before; row 0 is the start."""
     n = np.zeros((SIZE, SIZE), np.int64)
-    for k in range(0, len(samples), 10_000):
-        c = np.concatenate([np.append(0, codes(t)) for t in samples[k : k + 10_000]])
-        a, b = c[:-1], c[1:]
-        starts = np.cumsum([len(t) + 1 for t in samples[k : k + 10_000]])[:-1] - 1
-        keep = np.ones(len(a), bool)
-        keep[starts] = False  # from the end of one to the start of the next
-        n += np.bincount(a[keep] * SIZE + b[keep], minlength=SIZE * SIZE).reshape(SIZE, SIZE)
+    for k in range(0, len(samples), 100_000):
+        part = samples[k : k + 100_000]
+        c = codes("\0" + "\0".join(part))
+        keep = np.ones(len(c) - 1, bool)
+        keep[np.cumsum([len(t) + 1 for t in part])[:-1] - 1] = False  # from the end of one to the start of the next
+        n += np.bincount((c[:-1] * SIZE + c[1:])[keep], minlength=SIZE * SIZE).reshape(SIZE, SIZE)
     return n
 
 
