@@ -121,6 +121,7 @@ def test_long_texts_are_not_cut(monkeypatch):
 
     whole, p = counts()
     monkeypatch.setattr(hmm, "SEGMENT", 7)
+    monkeypatch.setattr(hmm, "LONG", 9)
     monkeypatch.setattr(hmm, "AT_ONCE", 200)
     cut, q = counts()
     assert q == pytest.approx(p) and whole.step.sum() == pytest.approx(sum(len(s) - 1 for s in seqs), rel=1e-4)
