@@ -74,3 +74,11 @@ def test_shadow_model_ranks_held_out_documents(spark):
     good, bad = got.score[got.label == 1].to_numpy(), got.score[got.label == 0].to_numpy()
     auc = (good[:, None] > bad[None]).mean()
     assert auc > 0.8, auc
+
+
+def test_stored_model_scores_like_the_fitted_one(spark):
+    sf = "/root/testdata/sf0.01"
+    got = Q["stored_model_scores"](spark, sf).toPandas().set_index("doc_id")
+    fitted = Q["shadow_model"](spark, sf).toPandas().set_index("doc_id")
+    assert (got.score[fitted.index] - fitted.score).abs().max() < 2e-6 and got.index.is_unique
+    assert (got.reused == (got.index % 2 == 0)).all() and set(got.top_feature) <= {"chars", "upper", "marks"} and got.top_feature.nunique() > 1
