@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import kernels as K
 from lodestar.functions.kernels import clamp, exact_sum, rnd, safe_div
-from lodestar.operators.relational import band_join, islands, latest, overlap_join, pairs
+from lodestar.operators.relational import islands, latest, met_pairs, overlap_join
 from lodestar.plans.registry import query
 from lodestar.sources import views as V
 
@@ -151,8 +151,9 @@ def cohort_baselines(spark: SparkSession, d: str) -> DataFrame:
 SELECT x.character_id AS a, y.character_id AS b, count(*) AS meetings, round(count(*) * 1.5, 4) AS weight, max(x.h) AS last_at FROM c x JOIN c y ON x.system_id = y.system_id AND x.h = y.h AND x.character_id < y.character_id GROUP BY 1, 2 HAVING count(*) >= 2""")
 def copresence_edges(spark: SparkSession, d: str) -> DataFrame:
     """Pairs seen in one system and hour, weighted by event type."""
-    c = V.event_stream(spark, d).select("system_id", F.date_trunc("hour", "ts").alias("h"), "character_id")
-    return pairs(c, ["system_id", "h"], "character_id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("meetings"), rnd(F.count(F.lit(1)) * 1.5).alias("weight"), F.max("h").alias("last_at")).where("meetings >= 2")
+    c = V.event_stream(spark, d).select("system_id", F.date_trunc("hour", "ts").alias("h"), "character_id").distinct().withColumn("at", F.col("h"))
+    n = F.count(F.lit(1))
+    return met_pairs(c, ["system_id"], ["h"], "character_id").groupBy("meet", "a", "b").agg(n.alias("meetings"), rnd(n * 1.5).alias("weight"), F.max("x.at").alias("last_at")).where("meetings >= 2").drop("meet")
 
 
 @query("system_time_edges", V.ctes("es") + """SELECT x.character_id AS a, y.character_id AS b, count(*) AS n, round(min(abs(epoch_us(x.ts) - epoch_us(y.ts))) / 1e6, 2) AS closest FROM es x JOIN es y ON x.system_id = y.system_id AND x.character_id < y.character_id
@@ -160,9 +161,8 @@ AND abs(epoch_us(x.ts) - epoch_us(y.ts)) <= 1800000000 GROUP BY 1, 2""")  # fmt:
 def system_time_edges(spark: SparkSession, d: str, seconds: int = 1800) -> DataFrame:
     """Pairs in one system within a band of time: a bucketed band join."""
     es = V.event_stream(spark, d).select("system_id", "character_id", "ts")
-    a, b = es.withColumnsRenamed({"character_id": "a", "ts": "ta"}), es.withColumnsRenamed({"character_id": "b", "ts": "tb"})
-    j = band_join(a, b, ["system_id"], "ta", "tb", seconds).where("a < b")
-    return j.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), rnd(F.min(F.abs(F.unix_micros("ta") - F.unix_micros("tb"))) / 1e6, 2).alias("closest"))
+    j = met_pairs(es, ["system_id"], [], "character_id", ("ts", seconds))
+    return j.groupBy("meet", "a", "b").agg(F.count(F.lit(1)).alias("n"), rnd(F.min(F.abs(F.unix_micros("x.ts") - F.unix_micros("y.ts"))) / 1e6, 2).alias("closest")).drop("meet")
 
 
 @query("continuation_rate", V.ctes("es") + """, n AS (SELECT character_id, lead(epoch_us(ts)) OVER (PARTITION BY character_id ORDER BY ts, event_id) - epoch_us(ts) <= 7200000000 AS goes FROM es)
