@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.kernels import exact_sum, rnd, tier
 from lodestar.operators import fits, graph as G
+from lodestar.operators.relational import met_pairs
 from lodestar.plans.incremental import shared
 from lodestar.plans.registry import query
 from lodestar.sources import readers, sinks
@@ -333,16 +334,19 @@ def copresence_events(spark: SparkSession, d: str) -> DataFrame:
     es = V.event_stream(spark, d)
     hour, day = F.date_trunc("hour", "ts").alias("h"), F.to_date("ts").alias("h")
 
-    def met(rows: DataFrame, group: list[str], *more: str) -> DataFrame:
-        rows = rows.select(*group, "character_id", *more).distinct()
-        other = rows.select(*group, F.col("character_id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in more))
-        return rows.withColumnRenamed("character_id", "a").join(other, group).where("a < b")
+    n = F.count(F.lit(1)).alias("n")
 
-    sides = met(es.select("system_id", hour, "character_id", "side_key"), ["system_id", "h"], "side_key").select("a", "b", F.when(F.col("side_key") == F.col("side_key_b"), "same_side").otherwise("same_battle").alias("kind"))
-    near = met(es.select((F.col("system_id") % 3).alias("area"), day, "character_id", "system_id"), ["area", "h"], "system_id").where("system_id <> system_id_b").select("a", "b", F.lit("related_engagement").alias("kind"))
-    org = met(es.select(F.date_trunc("week", "ts").alias("h"), (F.col("character_id") % 7).alias("org"), "character_id"), ["h", "org"]).select("a", "b", F.lit("same_organisation").alias("kind"))
-    place = met(es.select("system_id", day, "character_id"), ["system_id", "h"]).select("a", "b", F.lit("same_system_day").alias("kind"))
-    g = sides.union(near).union(org).union(place).groupBy("a", "b", "kind").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    def met(rows: DataFrame, space: str) -> DataFrame:
+        return met_pairs(rows.distinct(), [space], ["h"], "character_id")
+
+    def counted(rows: DataFrame, kind) -> DataFrame:
+        return rows.groupBy("meet", "a", "b", kind.alias("kind")).agg(n).where("n >= 2").drop("meet")
+
+    sides = counted(met(es.select("system_id", hour, "character_id", "side_key"), "system_id"), F.when(F.col("x.side_key") == F.col("y.side_key"), "same_side").otherwise("same_battle"))
+    near = met(es.select((F.col("system_id") % 3).alias("area"), day, "character_id", "system_id"), "area").where("x.system_id <> y.system_id")
+    org = met(es.select(F.date_trunc("week", "ts").alias("h"), (F.col("character_id") % 7).alias("org"), "character_id"), "org")
+    place = met(es.select("system_id", day, "character_id"), "system_id")
+    g = sides.union(counted(near, F.lit("related_engagement"))).union(counted(org, F.lit("same_organisation"))).union(counted(place, F.lit("same_system_day")))
     k = F.col("kind")
     weight = F.when(k == "same_battle", 1.0).when(k == "same_side", 1.5).when(k == "related_engagement", 0.6).when(k == "same_organisation", 1.2).otherwise(0.4)
     return g.select("a", "b", "kind", "n", rnd(F.col("n") * weight).alias("weight"))
