@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.kernels import clamp, exact_sum, rnd, safe_div
 from lodestar.operators import graph as G
-from lodestar.operators.relational import band_join, gap_islands, overlap_join
+from lodestar.operators.relational import band_join, gap_islands, met_pairs, overlap_join
 from lodestar.plans.battle import SIDES, actor_table, side_scores, with_battle
 from lodestar.plans.registry import query
 from lodestar.sources import views as V
@@ -204,10 +204,11 @@ def suspicion_v2(spark: SparkSession, d: str, least: int = 5, recent_days: int =
     ).crossJoin(tot)
     f = f.withColumn("uplift", safe_div(F.col("os"), F.col("onn")) - safe_div(F.col("ts") - F.col("bs"), F.col("tn") - F.col("bn"))).withColumn("expected", safe_div(F.col("ns"), F.col("nn")))
     f = G.cut(f)
-    side = lambda x: o.select("battle_id", *(F.col(c).alias(f"{x}_{c}") for c in ("character_id", "side_key", "hs")))
-    e = side("a").join(side("b"), "battle_id").where("a_character_id <> b_character_id").groupBy(F.col("a_character_id").alias("a"), F.col("b_character_id").alias("b"))
-    e = e.agg(n.alias("k"), F.sum(F.greatest("a_hs", "b_hs")).alias("h"), F.sum((F.col("a_side_key") != F.col("b_side_key")).cast("int")).alias("c"))
-    e = e.join(f.select(F.col("character_id").alias("b"), (F.col("hs") > 0).cast("int").alias("bad")), "b")
+    seen = o.join(f.select("character_id", (F.col("hs") > 0).cast("int").alias("bad")), "character_id").select("system_id", "battle_id", "character_id", "side_key", "hs", "bad")
+    met = met_pairs(seen, ["system_id"], ["battle_id"], "character_id").groupBy("meet", "a", "b")
+    met = met.agg(n.alias("k"), F.sum(F.greatest("x.hs", "y.hs")).alias("h"), F.sum((F.col("x.side_key") != F.col("y.side_key")).cast("int")).alias("c"), F.max("x.bad").alias("xb"), F.max("y.bad").alias("yb"))
+    both = F.explode(F.array(F.struct("a", "b", F.col("yb").alias("bad")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("xb").alias("bad")))).alias("e")
+    e = met.select(both, "k", "h", "c").select("e.*", "k", "h", "c")
     net = G.cut(e.groupBy(F.col("a").alias("character_id")).agg(n.alias("deg"), *(F.sum(c).alias(c) for c in ("k", "h", "c", "bad")), F.countDistinct(F.col("b") % 12).alias("groups")))
     mean = F.broadcast(net.agg((F.sum("deg") / F.count(F.lit(1))).alias("mean_deg")))  # one row
     av = o.groupBy("character_id", "system_id").agg(n.alias("c"))
