@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.kernels import exact_sum, rnd, safe_div
-from lodestar.operators.relational import pairs, top_k
+from lodestar.operators.relational import met_pairs, pairs, top_k
 from lodestar.plans.registry import query
 from lodestar.sources import views as V
 
@@ -58,7 +58,8 @@ def meetings(spark: SparkSession, d: str) -> DataFrame:
 @query("fleet_cores", DAYS + """, n AS (SELECT a, b, count(*) AS together FROM p GROUP BY 1, 2 HAVING count(*) >= 28) SELECT x.a, x.b, y.b AS c, least(x.together, y.together, z.together) AS together FROM n x JOIN n y ON x.b = y.a JOIN n z ON z.a = x.a AND z.b = y.b""")
 def fleet_cores(spark: SparkSession, d: str, least: int = 28) -> DataFrame:
     """Triples each two of which met often."""
-    n = meetings(spark, d).groupBy("a", "b").agg(F.count(F.lit(1)).alias("t")).where(F.col("t") >= least)
+    c = V.event_stream(spark, d).select("system_id", F.to_date("ts").alias("day"), "character_id").distinct()
+    n = met_pairs(c, ["system_id"], ["day"], "character_id").groupBy("meet", "a", "b").agg(F.count(F.lit(1)).alias("t")).where(F.col("t") >= least).drop("meet")
     x, y, z = n.select("a", "b", F.col("t").alias("t1")), n.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("t").alias("t2")), n.select("a", F.col("b").alias("c"), F.col("t").alias("t3"))
     return x.join(y, "b").join(z, ["a", "c"]).select("a", "b", "c", F.least("t1", "t2", "t3").alias("together"))
 
