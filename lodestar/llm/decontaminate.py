@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm._base import column, pieces, small_batches, table, text_bytes, with_fields, written
+from lodestar.llm._base import column, pieces, small_batches, table, text_bytes, tidy, with_fields, written
 
 WINDOW = 10
 #: Most words of benchmark items in one automaton (an item longer than this has one of its own).
@@ -197,11 +197,12 @@ def scan_texts(autos: list[Automaton], texts: list[bytes]) -> Iterator[tuple[int
 FOUND = {"n_words": T.LongType(), "starts": T.ArrayType(T.IntegerType()), "ends": T.ArrayType(T.IntegerType()), "items": T.ArrayType(T.StringType())}
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The columns `keep` with n_words, the hit word spans (starts, ends) and the item ids found."""
+def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], shard_words: int = SHARD_WORDS, *, then: tuple | None = None) -> DataFrame:
+    """The columns `keep` with n_words, the hit word spans (starts, ends) and the item ids found. then: a function of batches of these and the
+    schema of what it gives; it runs in the worker of the scan where one scan takes all items."""
     spark = docs.sparkSession
 
-    def part(autos_b, cols: list[str], source: DataFrame) -> DataFrame:
+    def part(autos_b, cols: list[str], source: DataFrame, then: tuple | None = None) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in small_batches(batches):
                 got = list(scan_texts(autos_b.value, text_bytes(b)))
@@ -216,12 +217,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], shard_words: in
                     names=[*cols, "n_words", "starts", "ends", "items"],
                 )
 
-        return source.select(*dict.fromkeys([*cols, "text"])).mapInArrow(run, with_fields(source, cols, **FOUND))
+        f, schema = then or (iter, with_fields(source, cols, **FOUND))
+        return source.select(*dict.fromkeys([*cols, "text"])).mapInArrow(tidy(lambda batches: f(run(batches))), schema)
 
     autos = map(Automaton, load_items(benchmark, shard_words))
     first, second = list(islice(autos, AT_ONCE)) or [Automaton([])], next(autos, None)
     if second is None:
-        return part(spark.sparkContext.broadcast(first), keep, docs)
+        return part(spark.sparkContext.broadcast(first), keep, docs, then)
     # more items than one scan takes: what each finds is written, and joined by row
     rows = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
     rows = rows.withColumn("_row", F.sha2(F.to_json(F.struct(*rows.columns)), 256))
@@ -236,7 +238,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], shard_words: in
     found = found.select("_row", F.col("z.starts").alias("starts"), F.col("z.ends").alias("ends"), "items")
     counted = part(spark.sparkContext.broadcast([Automaton([])]), [*keep, "_row"], rows).drop("starts", "ends", "items")
     none = F.array().cast("array<int>")
-    return counted.join(found, "_row", "left").select(*keep, "n_words", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    all_ = counted.join(found, "_row", "left").select(*keep, "n_words", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return all_.mapInArrow(*then) if then else all_
 
 
 def merged(starts, ends) -> list[tuple[int, int]]:
@@ -281,19 +284,20 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str, drop_cov
     """Pipeline stage: documents of which half or more is hit go; of others the hit spans are cut out and n_chars is set anew."""
     cols = docs.columns
     rows = docs.select(F.struct(*cols).alias("doc"), "text")  # columns of any name pass through as one
-    got = scan(rows, table(spark, sf_dir, "benchmark", "item_id", "text"), ["doc"])
-    got = got.where((n_hit() == 0) | (n_hit() < drop_coverage * F.col("n_words")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc = column(b, "doc")
-            texts = doc.field("text").to_pylist()
-            for i, (s, e) in enumerate(zip(column(b, "starts").to_pylist(), column(b, "ends").to_pylist())):
-                if s:
-                    texts[i] = cut(texts[i].encode(), merged(s, e)).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == "text" else doc.field(k) for k in cols], names=cols)
-
-    changed = got.select("doc", "starts", "ends").mapInArrow(run, docs.schema)
+            texts, keep = doc.field("text").to_pylist(), []
+            for i, (n, s, e) in enumerate(zip(*(column(b, c).to_pylist() for c in ("n_words", "starts", "ends")))):
+                spans = merged(s, e)
+                hit = sum(y - x for x, y in spans)
+                keep.append(hit == 0 or hit < drop_coverage * n)
+                if spans and keep[-1]:
+                    texts[i] = cut(texts[i].encode(), spans).decode()
+            yield pa.RecordBatch.from_arrays([(pa.array(texts, pa.string()) if k == "text" else doc.field(k)).filter(pa.array(keep, pa.bool_())) for k in cols], names=cols)
+
+    changed = scan(rows, table(spark, sf_dir, "benchmark", "item_id", "text"), ["doc"], then=(run, docs.schema))
     return changed.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in cols else changed
 
 

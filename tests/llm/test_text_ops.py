@@ -582,3 +582,15 @@ def test_inverse_of_the_schedule(spark):
         for u in (0.0, 0.2, 0.9, 1.0):
             t = spark.range(1).select(mixing.invert_demand(F.lit(u), F.lit(s)).alias("t")).first().t
             assert t + s * (t * t - t) == pytest.approx(u)
+
+
+def test_benchmark_is_cut_in_the_worker_that_finds_it(spark, tables):
+    """One Python pass over the documents; before, a second one cut the passages out. Half-covered documents go, others lose the passage."""
+    rnd = random.Random(3)
+    item = prose(rnd, 12)
+    docs = [(1, f"{prose(rnd, 40)} {item} {prose(rnd, 40)}"), (2, item), (3, prose(rnd, 30)), (4, None)]
+    d = tables(documents=docs, benchmark=[(1, item)])
+    df = decontaminate.remove_benchmark(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+    got = {r.doc_id: r.text for r in df.collect()}
+    assert set(got) == {1, 3, 4} and item not in got[1] and len(got[1].split()) == 80 and got[3] == docs[2][1] and got[4] is None
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
