@@ -150,7 +150,9 @@ def theater_graph(spark: SparkSession, d: str) -> DataFrame:
     pilots = with_battle(V.event_stream(spark, d), WINDOW).select("battle_id", "character_id").distinct()
     q = G.cut(theater_battles(spark, d).select("root", "battle_id").join(pilots, "battle_id").select("root", "character_id").distinct())
     t = q.groupBy("character_id").agg(F.count(F.lit(1)).alias("theaters"))
-    n = q.withColumnRenamed("character_id", "a").join(q.withColumnRenamed("character_id", "b"), "root").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 3")
+    # pilots of fewer than three theaters meet no one in three
+    often = q.join(t.where("theaters >= 3"), "character_id", "left_semi")
+    n = met_pairs(often, ["root"], [], "character_id").groupBy("meet", "a", "b").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 3").drop("meet")
     j = n.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b")
     return j.select("a", "b", "shared", rnd(F.col("shared") / F.least("ta", "tb"), 6).alias("closeness"))
 
