@@ -2,8 +2,8 @@
 
 Symbols: the most frequent words, classes of all other words (by hash of their last three bytes), and the end of text. A word within a
 class has its smoothed share of the class, so the model gives every word a probability. Baum-Welch: each pass reads all training
-documents, tasks add up expected counts, and the sums over all tasks give the next model; the first rounds read about SAMPLE_DOCS of
-the documents, to find a place to start from. Scores are exact: a scaled forward recursion over each whole text.
+documents, tasks add up expected counts, and the sums over all tasks give the next model. Nothing is learned from a sample. Scores are
+exact: a scaled forward recursion over each whole text.
 
 Word counts cover all training documents. Only the most frequent, HEAD_WORDS at most, go to tasks; for rarer words each task sends one row per
 word and pack of texts, which meets the count of the word in a join, so nothing that grows with the vocabulary is broadcast. Texts are
@@ -40,9 +40,7 @@ HEAD_WORDS = 131_072
 LONG, SEGMENT = 1 << 14, 1024
 #: Tokens that go through forward-backward side by side.
 AT_ONCE = 1 << 20
-SAMPLE_DOCS = 1500
-SAMPLE_ROUNDS = 8
-PASSES = 2
+PASSES = 5
 PRIOR = 50.0
 SYMBOL = np.uint16  # SYMBOL_WORDS + CLASSES + 1 of them
 FLUSH_WORDS = 200_000
@@ -325,19 +323,13 @@ class Fitted:
 
 def fit(docs: DataFrame) -> Fitted:
     """Vocabulary and model from the rows of docs (doc_id, text, train) where train is true; all rows are encoded."""
-    spark = docs.sparkSession
     learned = docs.where("train")
     counts = written(word_counts(learned), "lm-counts")
     n = learned.count()
     voc = vocabulary(counts, n)
     rows = encode(docs, voc)
     train, prior = rows.where("train and row is not null"), voc.unigram()
-    bits = 1 << 24
-    few = train.where(F.pmod(F.xxhash64("doc_id", "row"), F.lit(bits)) < min(bits, -(-bits * SAMPLE_DOCS // max(n, 1))))
-    few = written(few.select("sym").repartition(min(16, shuffle_parts(spark))), "lm-sample")
     model = random_model(prior)
-    for _ in range(SAMPLE_ROUNDS):
-        model = baum_welch_pass(few, prior, model)
     for _ in range(PASSES):
         model = baum_welch_pass(train, prior, model)
     return Fitted(voc, model, counts, rows)

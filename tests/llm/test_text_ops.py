@@ -594,3 +594,12 @@ def test_benchmark_is_cut_in_the_worker_that_finds_it(spark, tables):
     got = {r.doc_id: r.text for r in df.collect()}
     assert set(got) == {1, 3, 4} and item not in got[1] and len(got[1].split()) == 80 and got[3] == docs[2][1] and got[4] is None
     assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_every_pass_reads_all_training_documents(spark, monkeypatch):
+    """Before, eight rounds read a sample of them."""
+    seen, one_pass = [], hmm.baum_welch_pass
+    monkeypatch.setattr(hmm, "baum_welch_pass", lambda rows, prior, model: (seen.append(rows.count()), one_pass(rows, prior, model))[1])
+    docs = spark.range(3000).selectExpr("id doc_id", "concat('w', id % 7, ' v', id % 11) text", "id % 5 > 0 train")
+    hmm.fit(docs)
+    assert seen == [2400] * hmm.PASSES
