@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.kernels import exact_sum, rnd, safe_div
-from lodestar.operators.relational import met_pairs, pairs, top_k
+from lodestar.operators import block_pairs as B
+from lodestar.operators.relational import pairs, top_k
 from lodestar.plans.registry import query
 from lodestar.sources import views as V
 
@@ -57,11 +60,32 @@ def meetings(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fleet_cores", DAYS + """, n AS (SELECT a, b, count(*) AS together FROM p GROUP BY 1, 2 HAVING count(*) >= 28) SELECT x.a, x.b, y.b AS c, least(x.together, y.together, z.together) AS together FROM n x JOIN n y ON x.b = y.a JOIN n z ON z.a = x.a AND z.b = y.b""")
 def fleet_cores(spark: SparkSession, d: str, least: int = 28) -> DataFrame:
-    """Triples each two of which met often."""
-    c = V.event_stream(spark, d).select("system_id", F.to_date("ts").alias("day"), "character_id").distinct()
-    n = met_pairs(c, ["system_id"], ["day"], "character_id").groupBy("meet", "a", "b").agg(F.count(F.lit(1)).alias("t")).where(F.col("t") >= least).drop("meet")
-    x, y, z = n.select("a", "b", F.col("t").alias("t1")), n.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("t").alias("t2")), n.select("a", F.col("b").alias("c"), F.col("t").alias("t3"))
-    return x.join(y, "b").join(z, ["a", "c"]).select("a", "b", "c", F.least("t1", "t2", "t3").alias("together"))
+    """Triples each two of which met often. Who has fewer days than that meets no one as often; the others' days are rows of matrices, and a task
+    makes all triples of the first characters that it has."""
+    c = V.event_stream(spark, d).select("character_id", F.col("system_id").alias("s"), F.to_date("ts").alias("day")).where("s is not null and day is not null").distinct()
+    c = c.groupBy("character_id").agg(F.collect_list(B.code(F.col("s"), F.unix_date("day"))).alias("codes"), F.collect_set(F.col("s").cast("long")).alias("spaces")).where(F.size("codes") >= least)
+
+    def run(x, y, one):
+        every = x if one else pa.concat_tables([x, y])
+        ids = B.numbers(every, "character_id")
+        order = np.argsort(ids)
+        rows, ids, firsts = B.Rows.of(every.take(pa.array(order)), "codes"), ids[order], B.numbers(x, "character_id")
+        met = B.Together(rows)
+        for i in np.searchsorted(ids, firsts).tolist():
+            with_i = met.counts(np.array([i]), np.arange(i + 1, len(ids)))[0]
+            often = np.flatnonzero(with_i >= least)
+            at, t = often + i + 1, with_i[often]
+            step = max(1, (1 << 22) // max(len(at), 1))
+            for k in range(0, len(at), step):
+                b, c = at[k : k + step], at[k:]
+                n = met.counts(b, c)
+                ok = (n >= least) & (b[:, None] < c[None, :])
+                np.minimum(n, t[k : k + step, None], out=n)
+                np.minimum(n, t[None, k:], out=n)
+                yield from B.runs({"a": np.full(len(b), ids[i]), "b": ids[b]}, ok, {"c": ids[c], "together": lambda r, q, n=n: n[r, q].astype(np.int32)}, ("a", "b", "c", "together"))
+
+    j = B.unrolled(B.around_blocks(c, "character_id", run, "a long, b long, c array<long>, together array<int>").withColumnRenamed("c", "cs"), "cs", "c", "together")
+    return j.select("a", "b", "c", F.col("together").cast("long").alias("together"))
 
 
 @query("rotating_scouts", V.ctes("es") + """, c AS (SELECT system_id % 3 AS area, CAST(ts AS DATE) AS day, first(character_id ORDER BY ts, event_id) AS scout FROM es GROUP BY 1, 2), l AS (SELECT *, lag(scout) OVER (PARTITION BY area ORDER BY day) AS before FROM c)
