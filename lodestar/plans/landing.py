@@ -5,12 +5,14 @@ from __future__ import annotations
 import io
 import tarfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.kernels import exact_sum, rnd, tier
+from lodestar.operators import block_pairs as B
 from lodestar.operators import fits, graph as G
-from lodestar.operators.relational import met_pairs
 from lodestar.plans.incremental import shared
 from lodestar.plans.registry import query
 from lodestar.sources import readers, sinks
@@ -332,21 +334,41 @@ SELECT a, b, kind, count(*) AS n, round(count(*) * CASE kind WHEN 'same_battle'
 def copresence_events(spark: SparkSession, d: str) -> DataFrame:
     """Co-presence of five kinds with their weights: in one battle, on one side, in a related engagement, in one organisation, in one system on a day."""
     es = V.event_stream(spark, d)
-    hour, day = F.date_trunc("hour", "ts").alias("h"), F.to_date("ts").alias("h")
+    day, hour, week = F.unix_date(F.to_date("ts")), F.floor(F.unix_seconds("ts") / 3600), F.unix_date(F.to_date(F.date_trunc("week", "ts")))
 
-    n = F.count(F.lit(1)).alias("n")
+    def nodes(space, item, *more) -> DataFrame:
+        """Each character's spaces and the codes of what it has there, distinct with more."""
+        rows = es.select("character_id", space.cast("long").alias("s"), item.alias("i"), *more).where("s is not null and i is not null").distinct()
+        return rows.groupBy("character_id").agg(F.collect_set("s").alias("spaces"), F.collect_list(F.struct(B.code(F.col("s"), F.col("i")).alias("c"), *(c for c in rows.columns[3:]))).alias("z"))
 
-    def met(rows: DataFrame, space: str) -> DataFrame:
-        return met_pairs(rows.distinct(), [space], ["h"], "character_id")
+    def met(df: DataFrame, kinds) -> DataFrame:
+        """Rows of two nodes, the kind and n of two and more; kinds gives the counts of each kind for the pairs of two blocks."""
 
-    def counted(rows: DataFrame, kind) -> DataFrame:
-        return rows.groupBy("meet", "a", "b", kind.alias("kind")).agg(n).where("n >= 2").drop("meet")
+        def run(x, y, one):
+            a, b = B.numbers(x, "character_id"), B.numbers(y, "character_id")
+            for kind, n in kinds(x, y):
+                ok = (n >= 2) & B.ordered(a, b, one)
+                yield from B.runs({"node": a, "kind": pa.array([kind] * len(a))}, ok, {"others": b, "n": lambda r, c, n=n: n[r, c].astype(np.int32)}, ("node", "kind", "others", "n"))
 
-    sides = counted(met(es.select("system_id", hour, "character_id", "side_key"), "system_id"), F.when(F.col("x.side_key") == F.col("y.side_key"), "same_side").otherwise("same_battle"))
-    near = met(es.select((F.col("system_id") % 3).alias("area"), day, "character_id", "system_id"), "area").where("x.system_id <> y.system_id")
-    org = met(es.select(F.date_trunc("week", "ts").alias("h"), (F.col("character_id") % 7).alias("org"), "character_id"), "org")
-    place = met(es.select("system_id", day, "character_id"), "system_id")
-    g = sides.union(counted(near, F.lit("related_engagement"))).union(counted(org, F.lit("same_organisation"))).union(counted(place, F.lit("same_system_day")))
+        return B.unrolled(B.met_blocks(df, "character_id", run, "node long, kind string, others array<long>, n array<int>"), "others", "other", "n")
+
+    def by_side(x, y):
+        every = B.product(B.Rows.of(x, "codes"), B.Rows.of(y, "codes"))
+        same = B.alike_elements(x, y, "codes", "sides")
+        return ("same_side", same), ("same_battle", every - same)
+
+    def by_place(x, y):
+        place = B.product(B.Rows.of(x, "codes"), B.Rows.of(y, "codes"))
+        return ("same_system_day", place), ("related_engagement", B.product(B.Rows.of(x, "areas"), B.Rows.of(y, "areas")) - place)
+
+    def by_org(x, y):
+        return (("same_organisation", B.product(B.Rows.of(x, "codes"), B.Rows.of(y, "codes"))),)
+
+    battle = nodes(F.col("system_id"), hour, F.col("side_key").alias("side")).select("character_id", "spaces", F.col("z.c").alias("codes"), F.col("z.side").alias("sides"))
+    # two of a system are of its area too: one product of areas holds both kinds
+    near = nodes(F.col("system_id") % 3, day, F.col("system_id").alias("system")).select("character_id", "spaces", F.transform("z", lambda r: B.code(r["system"], r["c"].bitwiseAND(0xFFFFFFFF))).alias("codes"), F.col("z.c").alias("areas"))
+    org = nodes(F.col("character_id") % 7, week).select("character_id", "spaces", F.col("z.c").alias("codes"))
+    g = met(battle, by_side).union(met(near, by_place)).union(met(org, by_org)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "kind", F.col("n").cast("long").alias("n"))
     k = F.col("kind")
     weight = F.when(k == "same_battle", 1.0).when(k == "same_side", 1.5).when(k == "related_engagement", 0.6).when(k == "same_organisation", 1.2).otherwise(0.4)
     return g.select("a", "b", "kind", "n", rnd(F.col("n") * weight).alias("weight"))
